@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, token_files
+from . import best_fit, simhash, token_files
 from .words import public_vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -25,9 +25,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 #: Where SQL can express the query.
