@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, simhash, token_files
+from . import best_fit, piece_codec, simhash, token_counts, token_files
 from .words import public_vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"), public_vocabulary(PIECE_VOCABULARY))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), public_vocabulary(WORD_VOCABULARY))
 
@@ -29,10 +34,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_vocabulary(PIECE_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_token_files": op8_token_files,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: Where SQL can express the query.
