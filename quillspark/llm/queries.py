@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, piece_codec, simhash, token_counts, token_files
+from . import best_fit, language_id, piece_codec, quality, simhash, token_counts, token_files
 from .words import public_vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vocabulary = table(spark, sf_dir, "documents"), public_vocabulary(PIECE_VOCABULARY)
+    return language_id.identify(docs, language_id.train(docs, vocabulary), vocabulary)
+
+
 def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(table(spark, sf_dir, "documents"), public_vocabulary(PIECE_VOCABULARY))
 
@@ -39,6 +49,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_language_id": op4_language_id,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_token_files": op8_token_files,

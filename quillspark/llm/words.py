@@ -155,3 +155,15 @@ def public_vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """About ``rows`` rows, at most twice as many, those with the smallest hash of their key.
+
+    The threshold follows the number of rows, so no task sends more than its
+    share: nothing is sorted or gathered to find the sample.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.xxhash64(key) < F.lit(int(rows / total * 2**64) - 2**63)).limit(2 * rows)
