@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, language_id, piece_codec, quality, simhash, token_counts, token_files
+from . import best_fit, cover_tree, language_id, piece_codec, quality, simhash, token_counts, token_files
 from .words import public_vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), public_vocabulary(WORD_VOCABULARY))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(table(spark, sf_dir, "documents"), public_vocabulary(WORD_VOCABULARY))
     return token_files.read_token_files(spark, folder)
@@ -53,10 +57,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_exact_top_k": op6_exact_top_k,
     "op8_token_files": op8_token_files,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
 #: Where SQL can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_top_k": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+            FROM usable q JOIN usable d ON q.vec_id <> d.vec_id
+            WHERE q.vec_id % 100 = 0
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+        )
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+    """,
+}
