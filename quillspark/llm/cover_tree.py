@@ -27,14 +27,25 @@ from .storage import filesystem, new_folder, stored
 
 #: Points a node may hold before it is split into nodes of half the radius.
 LEAF = 48
+#: Query nodes are split further: small ones have tight bounds.
+QUERY_LEAF = 16
+#: Points of leaf siblings compared in one product.
+BLOCK = 256
 
 
 class Node:
-    __slots__ = ("centre", "children", "norm", "points", "radius")
+    __slots__ = ("_family", "centre", "children", "norm", "points", "radius")
 
     def __init__(self, centre: int, points: np.ndarray, radius: float, norm: float):
         self.centre, self.points, self.radius, self.norm = centre, points, radius, norm
         self.children: list[Node] = []
+        self._family = None
+
+    def family(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Centre vectors, radii and norms of the children."""
+        if self._family is None:
+            self._family = (x[[c.centre for c in self.children]], np.array([c.radius for c in self.children]), np.array([c.norm for c in self.children]))
+        return self._family
 
 
 def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node | None:
@@ -88,7 +99,7 @@ class DualSearch:
         self.compared = 0
 
     def run(self, x: Node | None = None) -> None:
-        q, x = cover_tree(self.q), x or cover_tree(self.x)
+        q, x = cover_tree(self.q, QUERY_LEAF), x or cover_tree(self.x)
         if q is None or x is None:
             return
         stack = [(self._bound(q, x), q, x)]
@@ -99,18 +110,28 @@ class DualSearch:
             if not a.children and not b.children:
                 self._compare(a.points, b.points)
                 continue
-            # descend the wider node; the most promising pair is taken first
-            pairs = [(c, b) for c in a.children] if a.children and (not b.children or a.radius >= b.radius) else [(a, c) for c in b.children]
-            if len(pairs) > 1 and pairs[0][0] is a:
-                rows = np.array([c.centre for _, c in pairs])
-                dots = self.x[rows] @ self.q[a.centre]
-                radius, norm = np.array([c.radius for _, c in pairs]), np.array([c.norm for _, c in pairs])
-                bounds = dots + a.radius * norm + radius * a.norm + a.radius * radius
-            else:
-                bounds = np.array([self._bound(c, d) for c, d in pairs])
+            if a.children and (not b.children or 2.0 * a.radius >= b.radius):  # queries first: theirs is the smaller tree
+                stack += sorted(((self._bound(c, b), c, b) for c in a.children), key=lambda p: p[0])
+                continue
+            # all children of a data node at once; the most promising are taken first
+            centres, radius, norm = b.family(self.x)
+            bounds = centres @ self.q[a.centre] + a.radius * norm + radius * (a.norm + a.radius)
             bounds += 1e-9 * np.abs(bounds) + 1e-6
-            least = self.worst[a.points].min()
-            stack += [(float(bounds[i]), *pairs[i]) for i in np.argsort(bounds, kind="stable") if bounds[i] >= least]
+            order = np.argsort(-bounds, kind="stable")
+            order = order[bounds[order] >= self.worst[a.points].min()]
+            if not a.children:
+                leaves, at = [i for i in order.tolist() if not b.children[i].children], 0
+                while at < len(leaves):  # neighbouring leaves are compared together
+                    some, n, top = [], 0, bounds[leaves[at]]
+                    while at < len(leaves) and n < BLOCK:
+                        some.append(b.children[leaves[at]].points)
+                        n += len(some[-1])
+                        at += 1
+                    if top < self.worst[a.points].min():
+                        break
+                    self._compare(a.points, np.concatenate(some))
+                order = [i for i in order.tolist() if b.children[i].children]
+            stack += [(float(bounds[i]), a, b.children[i]) for i in order[::-1]]
 
     def _bound(self, a: Node, b: Node) -> float:
         bound = float(self.q[a.centre] @ self.x[b.centre]) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
