@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, cover_tree, language_id, piece_codec, quality, simhash, token_counts, token_files
+from . import best_fit, chat, cover_tree, language_id, piece_codec, quality, simhash, token_counts, token_files, warc
 from .words import public_vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_of(warc.read_warc(spark, warc.write_warc(table(spark, sf_dir, "pages")), payload=False))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = table(spark, sf_dir, "documents"), public_vocabulary(PIECE_VOCABULARY)
     return language_id.identify(docs, language_id.train(docs, vocabulary), vocabulary)
@@ -39,6 +43,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(table(spark, sf_dir, "documents"), public_vocabulary(WORD_VOCABULARY))
     return token_files.read_token_files(spark, folder)
@@ -54,10 +62,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
-    "op4_language_id": op4_language_id,
+    "op2_warc": op2_warc,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
+    "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_token_files": op8_token_files,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
@@ -81,4 +91,34 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
     """,
+    "op7_chat_formatting": """
+        WITH turns AS (
+            SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS position FROM turns
+        ),
+        chats AS (
+            SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY position) AS body
+            FROM numbered GROUP BY conv_id
+        ),
+        kept AS (
+            SELECT a.conv_id, a.n_turns FROM chats a
+            WHERE NOT EXISTS (
+                SELECT 1 FROM chats b
+                WHERE b.conv_id <> a.conv_id AND b.body[1:a.n_turns] = a.body
+                  AND (b.n_turns > a.n_turns OR b.conv_id < a.conv_id)
+            )
+        ),
+        pieces AS (
+            SELECT conv_id, n_turns, position, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
+            FROM numbered JOIN kept USING (conv_id)
+        )
+        SELECT conv_id, n_turns, position,
+               CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id ORDER BY position
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+               rendered
+        FROM pieces
+    """,
 }
