@@ -22,16 +22,17 @@ repeated rows are separate documents; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .pieces import SPACE, PieceModel, cached_pieces
-from .words import WordIds, hash_sample, id_and_text, raw_texts, slices
+from .words import WordIds, hash_sample, id_and_text, keep_rows, raw_texts, slices
 
 LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
@@ -55,7 +56,7 @@ class Matches:
         self.base = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]  # a word of n characters has n + 1 states
         self.last = self.base + sizes
         self.states = int(sizes.sum()) + len(words)
-        ends, starts, pieces, depth = [], [], [], []
+        ends, starts, pieces, depth = (array("i") for _ in range(4))  # four bytes each, not objects
         known = model.characters
         for base, word in zip(self.base.tolist(), words, strict=True):
             for last, (size, _, i) in model.automaton.iter(word):
@@ -69,9 +70,9 @@ class Matches:
                     starts.append(base + last)
                     pieces.append(-1)
                     depth.append(last)
-        depth = np.array(depth, dtype=np.int64)
+        depth = np.array(depth, dtype=np.int32)
         order = np.argsort(depth, kind="stable")
-        self.end, self.start, self.piece = (np.array(x, dtype=np.int64)[order] for x in (ends, starts, pieces))
+        self.end, self.start, self.piece = (np.array(x, dtype=np.int32)[order] for x in (ends, starts, pieces))
         self.cuts = np.searchsorted(depth[order], np.arange(depth.max(initial=-1) + 2))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
@@ -123,14 +124,17 @@ class LanguageModel:
             p = np.full((size + 1, 1), 1.0 / size)
             p[-1] = UNKNOWN
             if words:
-                matches = Matches(model, list(words))
-                times = np.array(list(words.values()), dtype=float)[:, None]
-                own = np.searchsorted(matches.base, matches.start, side="right") - 1
+                forms, times = list(words), np.array(list(words.values()), dtype=float)[:, None]
+                blocks = [(Matches(model, forms[i : i + 20_000]), times[i : i + 20_000]) for i in range(0, len(forms), 20_000)]
                 for _ in range(rounds):
-                    alpha, beta = matches.forward(p), matches.backward(p)
-                    share = (times / np.maximum(alpha[matches.last], 1e-300))[own]
-                    expected = alpha[matches.start] * p[matches.piece] * beta[matches.end] * share
-                    total = np.bincount(matches.piece % (size + 1), weights=expected[:, 0], minlength=size + 1)[:size]
+                    total = np.zeros(size + 1)
+                    for matches, n in blocks:
+                        alpha, beta = matches.forward(p), matches.backward(p)
+                        share = n / np.maximum(alpha[matches.last], 1e-300)
+                        own = np.searchsorted(matches.base, matches.start, side="right") - 1
+                        expected = alpha[matches.start] * p[matches.piece] * beta[matches.end] * share[own]
+                        total += np.bincount(matches.piece % (size + 1), weights=expected[:, 0], minlength=size + 1)
+                    total = total[:size]
                     p[:size, 0] = np.maximum(total / max(total.sum(), 1e-300), FLOOR)
             out[:, k] = p[:, 0]
         out[-1] = UNKNOWN
@@ -205,19 +209,43 @@ def train(docs: DataFrame, vocabulary: str, documents: int = TRAINING_DOCUMENTS,
 _SCORERS: dict[str, _Scorer] = {}
 
 
-def identify(docs: DataFrame, model: LanguageModel, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every whole text; the text is all that is looked at."""
-    spark = docs.sparkSession
+def _scorer(spark: SparkSession, model: LanguageModel, vocabulary: str) -> Callable[[], _Scorer]:
+    """Gets a worker's scorer, made once and kept between tasks."""
     shared = spark.sparkContext.broadcast(model)  # pieces times languages: one megabyte for four
     key = hashlib.sha256(model.probabilities.tobytes() + repr((model.languages, vocabulary)).encode()).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def get() -> _Scorer:
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = _Scorer(cached_pieces(vocabulary).model, shared.value)
+        return _SCORERS[key]
+
+    return get
+
+
+def identify(docs: DataFrame, model: LanguageModel, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every whole text; the text is all that is looked at."""
+    get = _scorer(docs.sparkSession, model, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = get()
         for batch in slices(batches):
-            names, scores = _SCORERS[key].predict(raw_texts(batch.column("text")))
+            names, scores = scorer.predict(raw_texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     out = id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, vocabulary: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Documents, as they were, whose language is determined with a score of ``least`` or more."""
+    get = _scorer(docs.sparkSession, model, vocabulary)
+
+    def verdict() -> Callable[[pa.RecordBatch], np.ndarray]:
+        def decide(batch: pa.RecordBatch) -> np.ndarray:
+            names, scores = get().predict(raw_texts(batch.column(text_col)))
+            return np.array([n != UNDETERMINED and x >= least for n, x in zip(names, scores, strict=True)])
+
+        return decide
+
+    return keep_rows(docs, verdict, text_col)

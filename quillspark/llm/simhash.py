@@ -208,3 +208,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col:
     labels = connected_components(near_links(points.where("node IS NOT NULL"), distance))
     named = points.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents, as they were, without those whose component has a smaller id.
+
+    Only ids that go are joined back, so Spark broadcasts them while they are
+    few. Rows that repeat an id are one document, and one of them stays; they
+    are looked for by id alone, and texts are moved only where there are any.
+    """
+    gone = near_duplicates(docs, words, distance, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    again = stored(docs.groupBy(F.col(id_col).alias("again_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND again_id IS NOT NULL").select("again_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, kept[id_col] == F.col("again_id"), "left_anti").unionByName(kept.join(again, kept[id_col] == F.col("again_id"), "left_semi").dropDuplicates([id_col]))

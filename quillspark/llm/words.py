@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,3 +167,18 @@ def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     if total <= rows:
         return df
     return df.where(F.xxhash64(key) < F.lit(int(rows / total * 2**64) - 2**63)).limit(2 * rows)
+
+
+def keep_rows(df: DataFrame, verdict: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """Rows for which a task's verdict on their batch is true, all columns as they were.
+
+    ``verdict()`` is called once a task; its function gets batches of bounded
+    text and returns one boolean a row. Nothing is shuffled or joined.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = verdict()
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array(decide(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
