@@ -15,15 +15,15 @@ separate documents; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .words import WordIds, hash_sample, id_and_text, raw_texts, slices
+from .words import WordIds, hash_sample, id_and_text, keep_rows, raw_texts, slices
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -31,7 +31,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 #: Labelled rows the model is fitted and calibrated on (about so many, at most twice as many).
-TRAINING_ROWS = 3_000
+TRAINING_ROWS = 1_500
 #: Longer texts are scored like all others but do not take part in the fit.
 TRAINING_TEXT_BYTES = 65_536
 #: One in so many of them, by hash of the text, is kept for calibration.
@@ -111,19 +111,20 @@ class QualityModel:
             for bucket, weight in ((_bucket(hashes, 0), times), (grams, times[owner]), (_pair_buckets(hashes[own[:-1]], hashes[own[1:]]), np.ones(len(own) - 1))):
                 if len(bucket):
                     kind, at = np.unique(bucket, return_inverse=True)
-                    rows.append(np.full(len(kind), k))
-                    columns.append(kind)
-                    values.append(np.bincount(at, weights=weight) / weight.sum())
+                    rows.append(np.full(len(kind), k, dtype=np.int32))
+                    columns.append(kind.astype(np.int32))
+                    values.append((np.bincount(at, weights=weight) / weight.sum()).astype(np.float32))
         row, column, value = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
-        kinds, column = np.unique(column, return_inverse=True)
+        del rows, columns, values
+        size = 1 << TABLE_BITS
         fit = ~aside
         share = y[fit].mean()
         importance = np.where(fit, np.where(y == 1, 0.5 / share, 0.5 / (1 - share)), 0.0) / fit.sum()  # both kinds weigh alike
-        w, m, v, bias, mb, vb = np.zeros(len(kinds)), np.zeros(len(kinds)), np.zeros(len(kinds)), 0.0, 0.0, 0.0
+        w, m, v, bias, mb, vb = np.zeros(size), np.zeros(size), np.zeros(size), 0.0, 0.0, 0.0
         for step in range(1, STEPS + 1):
             logits = np.bincount(row, weights=w[column] * value, minlength=len(y)) + bias
             error = (1.0 / (1.0 + np.exp(-np.clip(logits, -50, 50))) - y) * importance
-            g = np.bincount(column, weights=value * error[row], minlength=len(kinds)) + DECAY * w / len(y)
+            g = np.bincount(column, weights=value * error[row], minlength=size) + DECAY * w / len(y)
             gb = error.sum()
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -132,9 +133,7 @@ class QualityModel:
             bias -= RATE * (mb / a) / (np.sqrt(vb / b) + 1e-9)
         logits = np.bincount(row, weights=w[column] * value, minlength=len(y)) + bias
         slope, offset = _logistic_curve(logits[aside], y[aside])
-        weights = np.zeros(1 << TABLE_BITS, dtype=np.float32)
-        weights[kinds] = w
-        return cls(weights, float(bias), slope, offset)
+        return cls(w.astype(np.float32), float(bias), slope, offset)
 
 
 def _logistic_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -253,25 +252,53 @@ _SCORERS: dict[str, _Scorer] = {}
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
 
 
-def score(docs: DataFrame, model: QualityModel, keep: float = KEEP_PROBABILITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts, the calibrated probability and the verdict on every whole text."""
+def _scorer(spark: SparkSession, model: QualityModel) -> Callable[[], _Scorer]:
+    """Gets a worker's scorer, made once and kept between tasks."""
     key = hashlib.sha256(model.weights.tobytes() + repr((model.bias, model.slope, model.offset)).encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of 2**18 weights: one megabyte
+    shared = spark.sparkContext.broadcast(model)  # one table of 2**18 weights: one megabyte
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def get() -> _Scorer:
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = _Scorer(shared.value)
-        scorer = _SCORERS[key]
+        return _SCORERS[key]
+
+    return get
+
+
+def _failed(words: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    return (words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED_PERCENT * words)
+
+
+def score(docs: DataFrame, model: QualityModel, keep: float = KEEP_PROBABILITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Base counts, the calibrated probability and the verdict on every whole text."""
+    get = _scorer(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = get()
         for batch in slices(batches):
             texts = raw_texts(batch.column("text"))
             rows, logits = scorer.batch(texts)
             n, symbols, lines, repeats = np.array(rows, dtype=np.int64).T
             white = np.array([len(t) - len(t.translate(None, WHITE)) for t in texts], dtype=np.int64)
             points = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            failed = (n < LEAST_WORDS) | (100 * repeats > MOST_REPEATED_PERCENT * n)
-            p = shared.value.probability(logits)
+            failed, p = _failed(n, repeats), scorer.model.probability(logits)
             columns = [pa.array(x) for x in (n, points - white, symbols, lines, repeats, failed, p, ~failed & (p >= keep))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, RESULT)
+
+
+def keep_good(docs: DataFrame, model: QualityModel, keep: float = KEEP_PROBABILITY, text_col: str = "text") -> DataFrame:
+    """Documents, as they were, that pass the base rules and the model."""
+    get = _scorer(docs.sparkSession, model)
+
+    def verdict() -> Callable[[pa.RecordBatch], np.ndarray]:
+        def decide(batch: pa.RecordBatch) -> np.ndarray:
+            rows, logits = get().batch(raw_texts(batch.column(text_col)))
+            n, _, _, repeats = np.array(rows, dtype=np.int64).T
+            return ~_failed(n, repeats) & (get().model.probability(logits) >= keep)
+
+        return decide
+
+    return keep_rows(docs, verdict, text_col)
