@@ -196,7 +196,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, largest_driver_edges: int
     for v, c in member.items():
         groups.setdefault(c, []).append(v)
     order = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
-    return spark.createDataFrame([(v, k) for k, g in enumerate(order) for v in sorted(g)], edges.select(F.col("a").alias("node")).schema.add("community", "int"))
+    return spark.createDataFrame([(v, k) for k, g in enumerate(order) for v in sorted(g)], edges.select(F.col("a").alias("node")).schema.add("community", "integer"))
 
 
 def numbered_communities(groups: DataFrame, least: int = 8, most: int = 40) -> DataFrame:
