@@ -2,7 +2,8 @@ import os
 import sys
 
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 import pytest  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
