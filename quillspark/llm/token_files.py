@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .storage import filesystem, new_folder
-from .words import cached_tokenizer, id_and_text, raw_texts, slices
+from .words import cached_tokenizer, hash_sample, id_and_text, raw_texts, slices
 
 MAGIC = b"QTOK0001"
 NULL_ID = -(2**63)
 
-#: The dictionary is fitted on this many documents at most, those with the
-#: smallest hash of their id, of at most so many bytes of text each.
+#: The dictionary is fitted on about this many documents (at most twice as many),
+#: those with the smallest hash of their id, of at most so many bytes of text each.
 TRAINING_DOCUMENTS, TRAINING_TEXT_BYTES, DICTIONARY_BYTES = 800, 32_768, 65_536
 LEVEL = 3
 
@@ -48,13 +48,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     """Dictionary over serialized id arrays of a bounded sample; empty if too few."""
     import zstandard
 
-    sample = (
-        docs.where(F.octet_length("text").between(1, TRAINING_TEXT_BYTES))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-        .limit(TRAINING_DOCUMENTS)
-        .select("text")
-        .collect()
-    )
+    sample = hash_sample(docs.where(F.octet_length("text").between(1, TRAINING_TEXT_BYTES)), TRAINING_DOCUMENTS).select("text").collect()
     tok, end = cached_tokenizer(tokenizer), struct.pack("<I", end_id)
     arrays = [_serialized(x + end, width) for x in tok.packed_batch([r.text.encode() for r in sample])]
     try:

@@ -69,16 +69,27 @@ def best_with_margin(df: DataFrame, keys: list[str], candidate: str, parent: str
 
 
 def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """One row (q0, q1, ...): values at position round(share * (n - 1)), never interpolated.
+    """One row (q0, q1, ...): values at position round(share * (n - 1)), never interpolated; halves round to even.
 
-    Values are counted first, so the window that finds positions sees distinct
-    values, not rows; halves round to even.
+    Values are dealt out by range and counted per partition; only the partitions
+    that hold a wanted position are numbered, so no task sees all values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    total = counts.agg(F.sum("n").alias("total"))
-    ranked = upto.crossJoin(F.broadcast(total))
-    return ranked.agg(*(F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("total") - 1)), F.col("v"))).alias(f"q{i}") for i, q in enumerate(shares)))
+    from quillspark.session import checkpointed
+
+    own = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).repartitionByRange("v")
+    dealt = checkpointed(own.select("v", F.spark_partition_id().alias("part")))
+    counts = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    total, wanted = sum(n for _, n in counts), []
+    for i, share in enumerate(shares):
+        at = round(share * (total - 1)) if total else 0
+        for part, n in counts:
+            if at < n:
+                wanted.append((i, part, at + 1))
+                break
+            at -= n
+    ranked = dealt.where(F.col("part").isin(*{p for _, p, _ in wanted}) if wanted else F.lit(False)).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("v")))
+    place = {i: (p, r) for i, p, r in wanted}
+    return ranked.agg(*(F.min(F.when((F.col("part") == place[i][0]) & (F.col("r") == place[i][1]), F.col("v")) if i in place else F.lit(None)).alias(f"q{i}") for i in range(len(shares))))
 
 
 def largest_remainder(sizes: DataFrame, n: int, stratum: str = "stratum", size: str = "size") -> DataFrame:
@@ -188,8 +199,15 @@ def assignment(pairs: DataFrame, left: str, right: str, score: str, least: float
     return pairs.sparkSession.createDataFrame(out, pairs.select(left, right, F.col(score).cast("double").alias(score)).schema)
 
 
+#: Stands for all works in ``cumulative_reach``.
+ALL_WORKS = -1
+
+
 def cumulative_reach(citations: DataFrame, ranks: DataFrame, doc: str, work: str, steps: list[int]) -> DataFrame:
-    """(k, documents, share): documents that cite at least one of the k most cited works."""
-    best = citations.join(ranks, work, "left").groupBy(doc).agg(F.min("rank").alias("best"))
-    own = best.agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("best") <= k).alias(f"k{k}") for k in steps))
-    return own.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("documents"), (F.col(f"k{k}") / F.col("all")).alias("share")) for k in steps))).alias("x")).select("x.*")
+    """(k, documents, share): documents that cite at least one of the k most cited works; -1 for any work.
+
+    ``ranks`` needs no more works than the largest step; it is a report's few rows.
+    """
+    best = citations.join(F.broadcast(ranks.where(F.col("rank") <= max(steps))), work, "left").groupBy(doc).agg(F.min("rank").alias("best"))
+    own = best.agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.lit(True) if k == ALL_WORKS else F.col("best") <= k).alias(f"k{i}") for i, k in enumerate(steps)))
+    return own.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{i}").alias("documents"), (F.col(f"k{i}") / F.col("all")).alias("share")) for i, k in enumerate(steps)))).alias("x")).select("x.*")

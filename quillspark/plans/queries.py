@@ -454,13 +454,13 @@ def run_comparison(spark, sf):
 @query("""
     WITH r AS (SELECT l_partkey, row_number() OVER (ORDER BY n DESC, l_partkey) AS rank FROM (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)),
     b AS (SELECT l_orderkey, min(rank) AS best FROM lineitem JOIN r USING (l_partkey) GROUP BY 1)
-    SELECT CAST(k AS INTEGER) AS k, count(*) FILTER (WHERE best <= k) AS documents, round(count(*) FILTER (WHERE best <= k) / count(*), 6) AS share FROM b, (SELECT unnest([1, 10, 50, 100000]) AS k) GROUP BY k
+    SELECT CAST(k AS INTEGER) AS k, count(*) FILTER (WHERE k = -1 OR best <= k) AS documents, round(count(*) FILTER (WHERE k = -1 OR best <= k) / count(*), 6) AS share FROM b, (SELECT unnest([1, 10, 50, -1]) AS k) GROUP BY k
 """)
 def cumulative_reach(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("work"))
-    n = lines.groupBy("work").agg(F.countDistinct("doc").alias("n"))
-    ranks = n.select("work", F.row_number().over(Window.orderBy(F.desc("n"), "work")).alias("rank"))
-    return R.cumulative_reach(lines, ranks, "doc", "work", [1, 10, 50, 100_000]).withColumn("share", F.round("share", 6))
+    most = lines.groupBy("work").agg(F.countDistinct("doc").alias("n")).orderBy(F.desc("n"), "work").limit(50)
+    ranks = most.select("work", F.row_number().over(Window.orderBy(F.desc("n"), "work")).alias("rank"))
+    return R.cumulative_reach(lines, ranks, "doc", "work", [1, 10, 50, R.ALL_WORKS]).withColumn("share", F.round("share", 6))
 
 
 @query("""
@@ -730,14 +730,26 @@ def hash_fragment(spark, sf):
 
 @query("SELECT doc_id, item_id, CAST(strpos(lower(d.text), lower(b.text)) AS INTEGER) AS position FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def evidence_literal(spark, sf):
-    """Passages are blocked by their first five words, so only texts that have them are searched."""
-    key = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 5), " ")
-    b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("passage")).withColumn("key", key(F.col("passage")))
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("body"))
-    first = b.select(F.substring_index("key", " ", 1).alias("w")).distinct()
-    starts = d.select("doc_id", "body", F.explode(F.array_distinct(F.split("body", r"[ \n]+"))).alias("w")).join(F.broadcast(first), "w", "left_semi").select("doc_id", "body").distinct()
-    near = starts.join(F.broadcast(b), F.col("body").contains(F.col("key"))).where(F.col("body").contains(F.col("passage")))
-    return near.select("doc_id", "item_id", F.expr("locate(passage, body)").alias("position"))
+    return literal_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def literal_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, item_id, position) of passages, in lower case, in whole texts; passages are a bounded list.
+
+    A passage is met by the hash of its second to sixth word, which stand between
+    spaces in any text that holds it; then it is looked for itself. Texts are not
+    shuffled. Passages of fewer words are looked for in every text.
+    """
+    cut = r"[ \n]+"
+    b = passages.select("item_id", F.lower("text").alias("passage")).withColumn("words", F.split("passage", cut))
+    long = b.where(F.size("words") >= 7).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("words", 2, 5), " ")).alias("key"))
+    short = b.where(F.size("words") < 7).select("item_id", "passage")
+    d = docs.select("doc_id", F.lower("text").alias("body"))
+    w = d.withColumn("w", F.split("body", cut))
+    keys = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
+    met = w.select("doc_id", "body", F.explode(F.array_distinct(keys)).alias("key")).join(F.broadcast(long), "key").where(F.col("body").contains(F.col("passage")))
+    other = d.join(F.broadcast(short), F.col("body").contains(F.col("passage")))
+    return met.select("doc_id", "item_id", F.expr("locate(passage, body)").alias("position")).unionByName(other.select("doc_id", "item_id", F.expr("locate(passage, body)").alias("position"))).distinct()
 
 
 @query()
