@@ -146,3 +146,56 @@ def precision_by_stratum(judged: DataFrame, sizes: DataFrame, stratum: str, righ
     per = judged.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(right)).alias("hits"))
     w = wilson(F.col("hits"), F.col("n"))
     return per.join(sizes, stratum).select(stratum, "n", "hits", (F.col("hits") / F.col("n")).alias("precision"), w["low"].alias("low"), w["high"].alias("high"), "size")
+
+
+def expand_choices(answers: DataFrame, keys: list[str], rater: str, variable: str, value: str, categories: dict[str, list[str]]) -> DataFrame:
+    """Answers with multiple choices (JSON lists) as one boolean variable for each category, others as they are."""
+    plain = answers.where(~F.col(variable).isin(*categories)).select(*keys, rater, variable, value) if categories else answers.select(*keys, rater, variable, value)
+    for name, options in categories.items():
+        own = answers.where((F.col(variable) == name) & F.col(value).isNotNull()).withColumn("_chosen", F.from_json(value, "array<string>"))
+        each = own.select(*keys, rater, F.explode(F.array(*(F.struct(F.lit(f"{name}:{o}").alias("v"), F.array_contains("_chosen", o).cast("string").alias("x")) for o in options))).alias("_e"))
+        plain = plain.unionByName(each.select(*keys, rater, F.col("_e.v").alias(variable), F.col("_e.x").alias(value)))
+    return plain
+
+
+def rater_pairs(answers: DataFrame, keys: list[str], rater: str, value: str) -> DataFrame:
+    """(keys, rater_a, rater_b, a, b): answers of every two raters to the same item, raters in order."""
+    x = answers.select(*keys, F.col(rater).alias("rater_a"), F.col(value).alias("a"))
+    y = answers.select(*keys, F.col(rater).alias("rater_b"), F.col(value).alias("b"))
+    return x.join(y, keys).where("rater_a < rater_b")
+
+
+def divergences(pairs: DataFrame) -> DataFrame:
+    return pairs.where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def circular(pairs: DataFrame, families: dict[str, str]) -> DataFrame:
+    """Whether the two raters are models of one family, so that their agreement says little."""
+    family = F.create_map(*(F.lit(x) for kv in families.items() for x in kv)) if families else F.create_map().cast("map<string,string>")
+    a, b = F.try_element_at(family, F.col("rater_a")), F.try_element_at(family, F.col("rater_b"))
+    return pairs.withColumn("circular", F.coalesce(a == b, F.lit(False)))
+
+
+def valid_codings(answers: DataFrame, codebook: dict[str, list[str] | None], keys: list[str], variable: str, value: str) -> DataFrame:
+    """Answers the present codebook allows; a variable without a list takes any text."""
+    ok = F.lit(False)
+    for name, options in codebook.items():
+        ok = ok | ((F.col(variable) == name) & (F.col(value).isin(*options) if options is not None else F.col(value).isNotNull()))
+    return answers.where(ok)
+
+
+def complete_sheets(answers: DataFrame, variables: list[str], keys: list[str], variable: str) -> DataFrame:
+    """(keys): sheets that answer every variable."""
+    return answers.where(F.col(variable).isin(*variables)).groupBy(*keys).agg(F.countDistinct(variable).alias("_n")).where(F.col("_n") == len(variables)).select(*keys)
+
+
+def median_kappa(pairs: DataFrame, variable: str) -> DataFrame:
+    """(variable, kappa): median over pairs of raters; pairs without a kappa take no part."""
+    cells = pairs.where("a IS NOT NULL AND b IS NOT NULL").groupBy(variable, "rater_a", "rater_b", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    by = [variable, "rater_a", "rater_b"]
+    total = cells.groupBy(*by).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
+    left = cells.groupBy(*by, F.col("a").alias("v")).agg(F.sum("n").alias("na"))
+    right = cells.groupBy(*by, F.col("b").alias("v")).agg(F.sum("n").alias("nb"))
+    chance = left.join(right, [*by, "v"]).groupBy(*by).agg(F.sum(F.col("na") * F.col("nb")).alias("chance"))
+    po, pe = F.col("same") / F.col("t"), F.coalesce("chance", F.lit(0)) / (F.col("t") * F.col("t"))
+    return total.join(chance, by, "left").select(variable, F.when(pe < 1, (po - pe) / (1 - pe)).alias("k")).groupBy(variable).agg(F.median("k").alias("kappa"))

@@ -211,3 +211,48 @@ def cumulative_reach(citations: DataFrame, ranks: DataFrame, doc: str, work: str
     best = citations.join(F.broadcast(ranks.where(F.col("rank") <= max(steps))), work, "left").groupBy(doc).agg(F.min("rank").alias("best"))
     own = best.agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.lit(True) if k == ALL_WORKS else F.col("best") <= k).alias(f"k{i}") for i, k in enumerate(steps)))
     return own.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{i}").alias("documents"), (F.col(f"k{i}") / F.col("all")).alias("share")) for i, k in enumerate(steps)))).alias("x")).select("x.*")
+
+
+def one_per_language(texts: DataFrame, keys: list[str], language: str, right: str, position: str) -> DataFrame:
+    """One text for each language: one already right before others, then by position."""
+    w = Window.partitionBy(*keys, language).orderBy((~F.col(right)).cast("int"), position)
+    return texts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def by_precedence(keys: DataFrame, sources: list[DataFrame], key: str, label: str) -> DataFrame:
+    """(key, label, source): the first source that has a label for a key, sources in order of precedence from 0."""
+    tagged = None
+    for i, s in enumerate(sources):
+        part = s.select(key, label, F.lit(i).alias("source")).where(F.col(label).isNotNull())
+        tagged = part if tagged is None else tagged.unionByName(part)
+    best = tagged.groupBy(key).agg(F.min(F.struct("source", label)).alias("b")).select(key, F.col(f"b.{label}").alias(label), F.col("b.source").alias("source"))
+    return keys.select(key).distinct().join(best, key, "left")
+
+
+def always_since(shares: DataFrame, keys: list[str], year: str, share: str, full: float = 1.0) -> DataFrame:
+    """(keys, since): the first year from which on every year's share is full; null if the last year's is not."""
+    broken = shares.groupBy(*keys).agg(F.max(F.when(F.col(share) < full, F.col(year))).alias("_b"))
+    return shares.join(broken, keys).groupBy(*keys).agg(F.min(F.when(F.col("_b").isNull() | (F.col(year) > F.col("_b")), F.col(year))).alias("since"))
+
+
+def largest_change(rows: DataFrame, period: Column, category: str, group: str) -> DataFrame:
+    """(group, category, before, after): the category of each group whose share changes most between two periods.
+
+    ``period`` is true for the later one; ties go to the least category.
+    """
+    own = rows.select(group, category, period.cast("int").alias("_late"))
+    counts = own.groupBy(group, category).agg(F.sum(1 - F.col("_late")).alias("_k0"), F.sum("_late").alias("_k1"))
+    totals = own.groupBy(group).agg(F.sum(1 - F.col("_late")).alias("_n0"), F.sum("_late").alias("_n1"))
+    shares = counts.join(F.broadcast(totals), group).select(group, category, F.try_divide("_k0", "_n0").alias("before"), F.try_divide("_k1", "_n1").alias("after"))
+    change = F.round(F.abs(F.col("after") - F.col("before")), 9)
+    best = shares.where(change.isNotNull()).groupBy(group).agg(F.min(F.struct((-change).alias("c"), F.col(category).alias("k"), "before", "after")).alias("b"))
+    return best.select(group, F.col("b.k").alias(category), F.col("b.before").alias("before"), F.col("b.after").alias("after"))
+
+
+def stacked(series: DataFrame, at: str, key: str, n: str, order: list[Column], expand: bool = False) -> DataFrame:
+    """(at, key, low, high): each key's band on top of those before it, as counts or as shares of the whole."""
+    w = Window.partitionBy(at).orderBy(*order)
+    high = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum(n).over(Window.partitionBy(at))
+    scale = F.when(total > 0, total) if expand else F.lit(1)
+    return series.select(at, key, F.coalesce((high - F.col(n)) / scale, F.lit(0.0)).alias("low"), F.coalesce(high / scale, F.lit(0.0)).alias("high"))

@@ -1026,3 +1026,57 @@ def most_recent_category(spark, sf):
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     p = rows.groupBy("c_mktsegment", "o_orderpriority").agg(F.avg((F.year("o_orderdate") >= 1998).cast("int")).alias("late"))
     return R.top_per_group(p, ["c_mktsegment"], [F.round("late", 9).desc(), F.col("o_orderpriority")], 1).select("c_mktsegment", "o_orderpriority", F.round("late", 6).alias("late"))
+
+
+@query("""
+    WITH s AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, c_mktsegment, avg(CAST(o_orderstatus <> 'F' AS INT)) AS share FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+    b AS (SELECT c_mktsegment, max(year) FILTER (WHERE share < 0.3) AS b FROM s GROUP BY 1) SELECT c_mktsegment, min(year) FILTER (WHERE b IS NULL OR year > b) AS since FROM s JOIN b USING (c_mktsegment) GROUP BY 1
+""")
+def always_since(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    s = rows.groupBy(F.year("o_orderdate").alias("year"), "c_mktsegment").agg(F.avg((F.col("o_orderstatus") != "F").cast("int")).alias("share"))
+    return R.always_since(s, ["c_mktsegment"], "year", "share", 0.3)
+
+
+@query("""
+    WITH o AS (SELECT c_mktsegment, o_orderpriority, CAST(year(o_orderdate) >= 1998 AS INT) AS late FROM orders JOIN customer ON o_custkey = c_custkey),
+    k AS (SELECT c_mktsegment, o_orderpriority, sum(1 - late) AS k0, sum(late) AS k1 FROM o GROUP BY ALL), n AS (SELECT c_mktsegment, sum(1 - late) AS n0, sum(late) AS n1 FROM o GROUP BY 1),
+    s AS (SELECT c_mktsegment, o_orderpriority, k0 / n0 AS before, k1 / n1 AS after FROM k JOIN n USING (c_mktsegment))
+    SELECT c_mktsegment, o_orderpriority, round(before, 6) AS before, round(after, 6) AS after FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY round(abs(after - before), 9) DESC, o_orderpriority) AS r FROM s) WHERE r = 1
+""")
+def largest_change(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    out = R.largest_change(rows, F.year("o_orderdate") >= 1998, "o_orderpriority", "c_mktsegment")
+    return out.select("c_mktsegment", "o_orderpriority", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
+@query("""
+    WITH s AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS key, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY year ORDER BY key) AS high, sum(n) OVER (PARTITION BY year) AS total FROM s)
+    SELECT year, key, round((high - n) / total, 6) AS low, round(high / total, 6) AS high FROM c
+""")
+def stacked_shares(spark, sf):
+    s = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return R.stacked(s, "year", "key", "n", [F.col("key")], expand=True).select("year", "key", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query(f"""
+    WITH {VOTES}, long AS (SELECT doc_id, 'a' AS rater, a AS v FROM votes UNION ALL SELECT doc_id, 'b', b FROM votes UNION ALL SELECT doc_id, 'c', c FROM votes)
+    SELECT x.doc_id, x.rater AS rater_a, y.rater AS rater_b, CAST(x.v AS VARCHAR) AS a, CAST(y.v AS VARCHAR) AS b FROM long x JOIN long y ON x.doc_id = y.doc_id AND x.rater < y.rater WHERE x.v <> y.v
+""")
+def divergences(spark, sf):
+    b = ballots(spark, sf)
+    return S.divergences(S.rater_pairs(b, ["doc_id"], "member", "value")).select("doc_id", "rater_a", "rater_b", "a", "b")
+
+
+@query("""
+    WITH k AS (SELECT doc_id AS key, lang AS label, 1 AS source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'manual', 0 FROM documents WHERE doc_id % 5 = 0)
+    SELECT d.doc_id, r.label, r.source FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source) AS r FROM k) r ON r.key = d.doc_id AND r.r = 1
+""")
+def labels_by_precedence(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"))
+    return R.by_precedence(d, [d.where("doc_id % 5 = 0").withColumn("label", F.lit("manual")), d.where("doc_id % 2 = 0")], "doc_id", "label")
+
+
+@query()
+def spanning_tree(spark, sf):
+    return vectors.spanning_tree(table(spark, sf, "embeddings"), "label", "embedding")

@@ -86,3 +86,13 @@ def latex(df: DataFrame) -> str:
     escape = lambda v: "" if v is None else str(v).replace("&", r"\&").replace("_", r"\_").replace("%", r"\%")
     body = [" & ".join(map(escape, r)) + r" \\" for r in [df.columns, *rows]]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", *body, r"\end{tabular}"])
+
+
+def write_lines(df: DataFrame, path: str, keys: list[str]) -> None:
+    """JSON lines in total order, for coders and supervisors."""
+    df.orderBy(*total_order(df, keys)).write.mode("overwrite").json(path)
+
+
+def write_csv(df: DataFrame, path: str, keys: list[str]) -> None:
+    """CSV with a header, the data of a figure."""
+    df.orderBy(*total_order(df, keys)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
