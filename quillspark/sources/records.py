@@ -22,9 +22,9 @@ WORK = (
 
 def _tidy(texts: Column, origin: str) -> Column:
     """One cleaned text for each language, the first there is; empty ones go."""
-    clean = F.filter(F.transform(texts, lambda t: F.struct(t["language"].alias("language"), T.clean_markup(t["text"]).alias("text"), F.lit(origin).alias("origin"))), lambda t: F.length(t["text"]) > 0)
-    first = F.aggregate(clean, F.slice(clean, 1, 0), lambda seen, t: F.when(F.exists(seen, lambda s: s["language"].eqNullSafe(t["language"])), seen).otherwise(F.concat(seen, F.array(t))))
-    return F.when(texts.isNull(), F.slice(clean, 1, 0)).otherwise(first)
+    given = F.coalesce(texts, F.array().cast("array<struct<language:string,text:string>>"))
+    clean = F.filter(F.transform(given, lambda t: F.struct(t["language"].alias("language"), T.clean_markup(t["text"]).alias("text"), F.lit(origin).alias("origin"))), lambda t: F.length(t["text"]) > 0)
+    return F.aggregate(clean, F.slice(clean, 1, 0), lambda seen, t: F.when(F.exists(seen, lambda s: s["language"].eqNullSafe(t["language"])), seen).otherwise(F.concat(seen, F.array(t))))
 
 
 def documents(raw: DataFrame, column: str, source: str) -> DataFrame:
