@@ -22,7 +22,7 @@ def test_ris(spark, tmp_path):
 
 
 def test_bibtex(spark, tmp_path):
-    (tmp_path / "x.bib").write_text("@article{K1,\n  title = {{A Title}},\n  year = {2019},\n  crossref = {10.1590/ABC},\n}\n@misc{K2,\n  url = {http://www.scielo.br/x?pid=" + PID + "},\n}\n")
+    (tmp_path / "x.bib").write_text("@article{K1,\n  title = {{A Title}},\n  year = {2019},\n  crossref = {10.1590/ABC},\n}\n@misc{K2,\n  url = {http://www.example.br/x?pid=" + PID + "},\n}\n")
     a, b = importers.read_export(spark, f"{tmp_path}/x.bib").orderBy(F.desc_nulls_last("title")).collect()
     assert (a.doi, a.title, a.year) == ("10.1590/abc", "A Title", 2019)
     assert (b.pid, b.collection) == (PID, "br")
@@ -39,7 +39,7 @@ def test_csv_in_two_encodings(spark, tmp_path):
 
 
 def test_list(spark, tmp_path):
-    (tmp_path / "x.txt").write_text(f"# comment\n10.1590/A # why\nhttp://scielo.org/{PID}\nnonsense\n")
+    (tmp_path / "x.txt").write_text(f"# comment\n10.1590/A # why\nhttp://example.org/{PID}\nnonsense\n")
     got = sorted((r.doi or "", r.pid or "", r.ignored) for r in importers.read_export(spark, f"{tmp_path}/x.txt").collect())
     assert got == [("", "", True), ("", PID, False), ("10.1590/a", "", False)]
 
