@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .pieces import SPACE, PieceModel, cached_pieces
-from .words import WordIds, hash_sample, id_and_text, keep_rows, raw_texts, slices
+from .words import WordIds, hash_sample, id_and_text, keep_rows, raw_texts, slices, sole
 
 LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
@@ -206,21 +206,12 @@ def train(docs: DataFrame, vocabulary: str, documents: int = TRAINING_DOCUMENTS,
     return LanguageModel.fit(cached_pieces(vocabulary).model, [(r.lang, r.text.encode()) for r in rows])
 
 
-_SCORERS: dict[str, _Scorer] = {}
-
-
 def _scorer(spark: SparkSession, model: LanguageModel, vocabulary: str) -> Callable[[], _Scorer]:
     """Gets a worker's scorer, made once and kept between tasks."""
     shared = spark.sparkContext.broadcast(model)  # pieces times languages: one megabyte for four
     key = hashlib.sha256(model.probabilities.tobytes() + repr((model.languages, vocabulary)).encode()).hexdigest()
 
-    def get() -> _Scorer:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = _Scorer(cached_pieces(vocabulary).model, shared.value)
-        return _SCORERS[key]
-
-    return get
+    return lambda: sole(("language", key), lambda: _Scorer(cached_pieces(vocabulary).model, shared.value))
 
 
 def identify(docs: DataFrame, model: LanguageModel, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

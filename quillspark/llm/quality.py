@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .words import WordIds, hash_sample, id_and_text, keep_rows, raw_texts, slices
+from .words import WordIds, hash_sample, id_and_text, keep_rows, raw_texts, slices, sole
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -247,8 +247,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col:
     return QualityModel.fit([r.text.encode() for r in found], [r.label for r in found])
 
 
-_SCORERS: dict[str, _Scorer] = {}
-
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
 
 
@@ -257,13 +255,7 @@ def _scorer(spark: SparkSession, model: QualityModel) -> Callable[[], _Scorer]:
     key = hashlib.sha256(model.weights.tobytes() + repr((model.bias, model.slope, model.offset)).encode()).hexdigest()
     shared = spark.sparkContext.broadcast(model)  # one table of 2**18 weights: one megabyte
 
-    def get() -> _Scorer:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = _Scorer(shared.value)
-        return _SCORERS[key]
-
-    return get
+    return lambda: sole(("quality", key), lambda: _Scorer(shared.value))
 
 
 def _failed(words: np.ndarray, repeats: np.ndarray) -> np.ndarray:

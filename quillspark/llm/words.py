@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -140,14 +141,26 @@ class CachedTokenizer:
         return [b"".join(map(cache.__getitem__, words)) if x is None else x for x, words in zip(out, split, strict=True)]
 
 
-_TOKENIZERS: dict[str, CachedTokenizer] = {}
+#: The one large cache of this Python worker, by key.
+_SOLE: dict[object, object] = {}
+
+
+def sole(key: object, make: Callable[[], object]) -> object:
+    """The worker's cache under ``key``, kept between tasks.
+
+    Workers outlive a stage; a cache of another operator is dropped first, so a
+    pipeline's worker never holds the sum of its stages' caches.
+    """
+    if key not in _SOLE:
+        _SOLE.clear()
+        gc.collect()
+        _SOLE[key] = make()
+    return _SOLE[key]
 
 
 def cached_tokenizer(path: str) -> CachedTokenizer:
     """One per Python worker, kept between tasks."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = CachedTokenizer(path)
-    return _TOKENIZERS[path]
+    return sole(("tokenizer", path), lambda: CachedTokenizer(path))
 
 
 def public_vocabulary(name: str) -> str:
