@@ -1,0 +1,13 @@
+"""Queries over whole tables where an older query and its SQL see a part."""
+
+from quillspark.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_references_of_all_orders(spark):
+    orders = {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()}
+    lines = {(r.l_orderkey, r.l_partkey % 700) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()}
+    assert {(r.doc, r.cited) for r in QUERIES["citation_split_all"](spark, SF).collect()} == {x for x in lines if x[0] in orders}
+    assert {r.doc for r in QUERIES["reference_counts_all"](spark, SF).collect()} == orders
+    assert any(x % 2 for x in orders)
