@@ -1,6 +1,6 @@
 """Queries over whole tables where an older query and its SQL see a part."""
 
-from quillspark.plans.queries import QUERIES
+from quillspark.plans.queries import QUERIES, nation_edges
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +11,38 @@ def test_references_of_all_orders(spark):
     assert {(r.doc, r.cited) for r in QUERIES["citation_split_all"](spark, SF).collect()} == {x for x in lines if x[0] in orders}
     assert {r.doc for r in QUERIES["reference_counts_all"](spark, SF).collect()} == orders
     assert any(x % 2 for x in orders)
+
+
+def test_components_of_all_pairs_of_customers(spark):
+    up, groups = {}, {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_custkey AS c", "year(o_orderdate) AS y", "month(o_orderdate) AS m", "o_orderpriority AS p").collect():
+        groups.setdefault((r.y, r.m, r.p), set()).add(r.c)
+    linked = set()
+    for group in groups.values():
+        for a in group:
+            for b in group:
+                if a < b:
+                    linked |= {a, b}
+                    p, q = sorted((root(a), root(b)))
+                    up[q] = p
+    expected = {x: root(x) for x in linked}
+    assert {r.node: r.component for r in QUERIES["connected_components_all"](spark, SF).collect()} == expected
+    [summary] = QUERIES["component_summary_all"](spark, SF).collect()
+    assert summary.components == len(set(expected.values()))
+
+
+def test_edges_of_all_nations(spark):
+    suppliers = {r.s_suppkey: r.s_nationkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    orders = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
+        orders.setdefault(r.l_orderkey, set()).add(suppliers[r.l_suppkey])
+    expected = {(a, b) for m in orders.values() for a in m for b in m if a < b}
+    assert any((7 * a + 3 * b) % 4 == 0 for a, b in expected)
+    assert {(r.a, r.b) for r in nation_edges(spark, SF).collect()} == expected
+    assert QUERIES["graph_density_clustering_all"](spark, SF).first().edges == len(expected)
