@@ -1021,11 +1021,20 @@ def deduplicated_documents(spark, sf):
     WHERE x.s_nationkey = y.s_nationkey AND x.s_nationkey < 3
 """)
 def name_block_pairs(spark, sf):
-    """Suppliers all carry one name here; blocks of a nation keep the demonstration small."""
+    """Suppliers all carry one name here; its SQL takes the first three nations, ``name_block_classes`` all suppliers."""
     s = table(spark, sf, "supplier").where("s_nationkey < 3").select("s_suppkey", F.concat_ws(" ", "s_name", F.translate(F.col("s_nationkey").cast("string"), "0123456789", "abcdefghij")).alias("name"))
     return resolve.name_pairs(s, "s_suppkey", "name")
 
 
+@query("""
+    SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY s_nationkey, lower(regexp_replace(s_name, '[^A-Za-z]+', ' ', 'g'))) AS class, list_filter([s_suppkey], lambda x: false) AS compatible FROM supplier
+""")
+def name_block_classes(spark, sf):
+    """All suppliers, whose names of a nation are equal, as classes with members instead of pairs."""
+    s = table(spark, sf, "supplier").select("s_suppkey", F.concat_ws(" ", "s_name", F.translate(F.col("s_nationkey").cast("string"), "0123456789", "abcdefghij")).alias("name"))
+    return resolve.name_classes(s, "s_suppkey", "name")
+
+
 @query("""
     WITH c AS (SELECT l_orderkey AS doc, l_partkey AS candidate, p_brand AS parent, l_extendedprice AS score FROM lineitem JOIN part ON l_partkey = p_partkey),
     b AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, candidate, parent) AS r FROM c), t AS (SELECT * FROM b WHERE r = 1),

@@ -1,5 +1,6 @@
 """Queries over whole tables where an older query and its SQL see a part."""
 
+from quillspark.operators import resolve
 from quillspark.plans.queries import QUERIES, nation_edges
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,19 @@ def test_edges_of_all_nations(spark):
     assert any((7 * a + 3 * b) % 4 == 0 for a, b in expected)
     assert {(r.a, r.b) for r in nation_edges(spark, SF).collect()} == expected
     assert QUERIES["graph_density_clustering_all"](spark, SF).first().edges == len(expected)
+
+
+def test_name_classes_stand_for_all_pairs(spark):
+    names = ["Ana Souza", "A. Souza", "ana souza", "Ana Maria Souza", "Rui Lima", "R Lima", "Rui de Lima", "123", None, "Ana Lima"]
+    people = spark.createDataFrame(list(enumerate(names)), "k long, name string")
+    pairs = {(r.a, r.b) for r in resolve.name_pairs(people, "k", "name").collect()}
+    rows = resolve.name_classes(people, "k", "name").collect()
+    assert len(rows) == len({r.id for r in rows})
+    found = {(x.id, y.id) for x in rows for y in rows if x.id < y.id and (x["class"] == y["class"] or y["class"] in x.compatible)}
+    assert found == pairs and (0, 2) in pairs and (0, 1) in pairs
+
+
+def test_name_classes_of_all_suppliers(spark):
+    suppliers = {r.s_suppkey: r.s_nationkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    least = {n: min(k for k, m in suppliers.items() if m == n) for n in suppliers.values()}
+    assert {r.id: r["class"] for r in QUERIES["name_block_classes"](spark, SF).collect()} == {k: least[n] for k, n in suppliers.items()}
