@@ -441,9 +441,15 @@ def text_search(spark, sf):
 
 @query("SELECT doc_id, CAST(i AS INTEGER) AS ordinal, words[i] AS value FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents WHERE n_chars < 400))")
 def unnest_ordinality(spark, sf):
+    """Texts of under 400 characters, as its SQL says; ``unnest_ordinality_all`` takes all."""
     return R.with_ordinality(table(spark, sf, "documents").where("n_chars < 400").select("doc_id", F.split("text", " ").alias("words")), "doc_id", "words")
 
 
+@query("SELECT doc_id, CAST(i AS INTEGER) AS ordinal, words[i] AS value FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents))")
+def unnest_ordinality_all(spark, sf):
+    return R.with_ordinality(table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words")), "doc_id", "words")
+
+
 @query("""
     SELECT CAST(conv_id AS BIGINT) AS conv_id, kind, text FROM (
         SELECT conv_id, 'user' AS kind, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, 'assistant', text FROM conversations WHERE role = 'assistant')
@@ -774,7 +780,8 @@ def email_flag(spark, sf):
 
 @query()
 def emails_removed(spark, sf):
-    return table(spark, sf, "documents").where(F.col("text").contains("@")).select("doc_id", T.remove_emails("text").alias("text"))
+    """Every document, as addresses are also spelled out or have other signs."""
+    return table(spark, sf, "documents").select("doc_id", T.remove_emails("text").alias("text"))
 
 
 @query("""

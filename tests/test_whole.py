@@ -63,3 +63,17 @@ def test_name_classes_of_all_suppliers(spark):
     suppliers = {r.s_suppkey: r.s_nationkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
     least = {n: min(k for k, m in suppliers.items() if m == n) for n in suppliers.values()}
     assert {r.id: r["class"] for r in QUERIES["name_block_classes"](spark, SF).collect()} == {k: least[n] for k, n in suppliers.items()}
+
+
+def test_words_of_long_texts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if r.text is not None}
+    expected = {(i, n, w) for i, t in texts.items() for n, w in enumerate(t.split(" "), 1)}
+    assert {(r.doc_id, r.ordinal, r.value) for r in QUERIES["unnest_ordinality_all"](spark, SF).collect()} == expected
+    assert any(len(t) >= 400 for t in texts.values())
+
+
+def test_emails_of_any_form_are_removed(spark, tmp_path):
+    rows = [(1, "ask ana@site.org now"), (2, "ask ana[at]site.org now"), (3, "ask ana (arroba) site.org now"), (4, "ask ana＠site.org now"), (5, "no address"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in QUERIES["emails_removed"](spark, str(tmp_path)).collect()}
+    assert got == {1: "ask now", 2: "ask now", 3: "ask now", 4: "ask now", 5: "no address", 6: None}
