@@ -1011,13 +1011,14 @@ def title_prefix_join(spark, sf):
 
 @query()
 def deduplicated_documents(spark, sf):
+    """Documents of one language merge across sources when their whole texts have the same title key."""
     d = table(spark, sf, "documents").select(
         F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("id"),
         F.when(F.col("doc_id") % 2 == 0, "first").otherwise("second").alias("source"),
         F.lit(None).cast("string").alias("pid"),
         F.lit(None).cast("string").alias("doi"),
         F.lit(2020).alias("year"),
-        F.substring("text", 1, 200).alias("title"),
+        F.col("text").alias("title"),
         F.col("lang").alias("surname"),
     )
     return resolve.deduplicate(d, "first")

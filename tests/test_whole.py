@@ -1,5 +1,6 @@
 """Queries over whole tables where an older query and its SQL see a part."""
 
+from quillspark.functions import text
 from quillspark.operators import resolve
 from quillspark.plans.queries import QUERIES, nation_edges
 
@@ -77,3 +78,22 @@ def test_emails_of_any_form_are_removed(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in QUERIES["emails_removed"](spark, str(tmp_path)).collect()}
     assert got == {1: "ask now", 2: "ask now", 3: "ask now", 4: "ask now", 5: "no address", 6: None}
+
+
+def test_documents_merge_by_their_whole_texts(spark, tmp_path):
+    start = "the same opening words again " * 8
+    texts = [start + "one end", start + "Another, end", start + "one, END!", start + "another end", start + "one end", start + "one end", "too short", "too short", "x", start + "one end."]
+    rows = [(i, t, "de" if i == 5 else "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept, suspected, first = {}, {}, {}
+    for i, t, lang in sorted(rows, key=lambda r: (r[0] % 2, r[0])):
+        key = (text.title_key(t), lang)
+        other = first.setdefault(key, i) if len(key[0]) >= resolve.LEAST_KEY else i
+        kept[i] = other if other % 2 != i % 2 else i
+        suspected[i] = other if other != i and other % 2 == i % 2 else None
+    got = QUERIES["deduplicated_documents"](spark, str(tmp_path)).collect()
+    number = lambda x: None if x is None else int(x[1:])
+    assert {number(r.id): number(r.kept) for r in got} == kept
+    assert {number(r.id): number(r.suspected) for r in got} == suspected
+    assert kept[1] == 1 and kept[5] == 5 and kept[9] == 0
+    assert suspected[2] == suspected[4] == 0 and suspected[3] == 1
