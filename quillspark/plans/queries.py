@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions import statistics as S, text as T, trend
@@ -820,9 +821,27 @@ def literal_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
 @query()
 def evidence_alignment(spark, sf):
-    """Status and offsets of each passage in the texts that hold its opening words."""
-    found = evidence_literal(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))), "item_id")
-    return found.select("doc_id", "item_id", T.evidence("passage", "text", F.lit(None).cast("string")).alias("e")).select("doc_id", "item_id", "e.*")
+    """Status and offsets of each passage in the texts that hold it, literally or nearly so."""
+    return aligned_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def aligned_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, item_id, status, field, start, end) of passages in whole texts; passages are a bounded list.
+
+    The list goes to every task, so texts are neither shuffled nor copied.
+    """
+    known = [(r.item_id, r.text) for r in passages.select("item_id", "text").collect()]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {passages.schema['item_id'].dataType.simpleString()}, status string, field string, start int, end int"
+
+    def run(batches):
+        own = T.Passages(known)
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                rows = [(doc, *x) for x in own.found(text or "")]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "status", "field", "start", "end"]).astype({"start": "Int32", "end": "Int32"})
+
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
 @query("""

@@ -1,5 +1,8 @@
 """Queries over whole tables where an older query and its SQL see a part."""
 
+import random
+from difflib import SequenceMatcher
+
 from quillspark.functions import text
 from quillspark.operators import resolve
 from quillspark.plans.queries import QUERIES, nation_edges
@@ -97,3 +100,24 @@ def test_documents_merge_by_their_whole_texts(spark, tmp_path):
     assert {number(r.id): number(r.suspected) for r in got} == suspected
     assert kept[1] == 1 and kept[5] == 5 and kept[9] == 0
     assert suspected[2] == suspected[4] == 0 and suspected[3] == 1
+
+
+def test_passages_that_differ_are_aligned(spark, tmp_path):
+    passage = "The river \u201cMoro\u201d runs \u2013 slowly and quietly \u2013 past seven old stone bridges before it meets the northern sea."
+    other = passage.replace("seven", "eight")
+    plain = passage.replace("\u201c", '"').replace("\u201d", '"').replace("\u2013", "-")
+    texts = [f"Before. {passage} After.", f"Before. {plain} After.", f"Before. {other} After.", "Nothing of the kind is said about seven old stone bridges here.", None, "Tiny note.", "A tiny note, then."]
+    rows, items = list(enumerate(texts)), [(1, passage), (2, "tiny note"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): (r.status, r.field, r.start, r.end) for r in QUERIES["evidence_alignment"](spark, str(tmp_path)).collect()}
+    every = {(d, i): text.check_evidence(q or "", t or "") for d, t in rows for i, q in items}
+    assert got == {k: v for k, v in every.items() if v[0] in ("literal", "approximate")}
+    assert {d for d, i in got if i == 1} == {0, 1, 2} and got[2, 1][0] == "approximate"
+
+
+def test_longest_match_is_that_of_difflib():
+    rng = random.Random(3)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("ab c") for _ in range(rng.randrange(n))) for n in (40, 12))
+        assert text.longest_match(a, b) == tuple(SequenceMatcher(None, a, b, autojunk=False).find_longest_match())
