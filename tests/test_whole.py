@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
+
 from quillspark.functions import text
 from quillspark.operators import resolve
 from quillspark.plans.queries import QUERIES, nation_edges
@@ -121,3 +123,11 @@ def test_longest_match_is_that_of_difflib():
     for _ in range(2000):
         a, b = ("".join(rng.choice("ab c") for _ in range(rng.randrange(n))) for n in (40, 12))
         assert text.longest_match(a, b) == tuple(SequenceMatcher(None, a, b, autojunk=False).find_longest_match())
+
+
+def test_people_merge_until_nothing_changes(spark):
+    rows = [("m0", "A. Maria Souza", None, None, ["x"]), ("m1", "Ana Souza", None, None, ["x", "y"]), ("m2", "Alice Maria Souza", None, None, ["y"])]
+    mentions = spark.createDataFrame(rows, "mention string, name string, source_id string, orcid string, context array<string>")
+    assert len({r.person for r in resolve.identify_people(mentions).collect()}) == 1
+    with pytest.raises(RuntimeError):
+        resolve.identify_people(mentions, most_rounds=1)
