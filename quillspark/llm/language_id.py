@@ -11,12 +11,19 @@ over all segmentations) on the words of a bounded sample of labelled documents.
 
 Words are runs of letters, lower-cased, with the vocabulary's mark for a word
 start. Forward passes run for all new words of a batch at once, position by
-position; scores of words are kept per worker, in bounded tables.
+position; scores of words are kept per worker, in bounded tables. Every
+``RESCALE`` positions the states that a later piece can still start from are
+divided by the largest of them, and its logarithm is carried on, so that a word
+of any length is summed over all its segmentations without leaving the range of
+a double.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties
 go to the language that sorts first; a text whose words hold no known character
-scores every language alike; languages unseen in training are never predicted;
-repeated rows are separate documents; an empty table gives no rows.
+is scored by its word starts, all that languages then differ in; languages
+unseen in training are never predicted; very long texts and words are scored whole, in time proportional to their length;
+a null id is not held out and kept as null; repeated rows are separate documents;
+other columns, whatever their names, are not looked at; an empty table gives no
+rows, and without a learned language every text is ``und``.
 """
 
 from __future__ import annotations
@@ -44,18 +51,19 @@ TRAINING_TEXT_BYTES = 65_536
 ROUNDS = 3
 #: Smallest probability of a piece, and of an unknown character in every language.
 FLOOR, UNKNOWN = 1e-7, 1e-7
-#: Longer words are cut into stretches of so many characters for the batched pass.
-STRETCH = 48
+#: Positions between two rescalings: 1e-7 ** (16 + 8) is far from the smallest double.
+RESCALE = 8
 
 
 class Matches:
     """Automaton matches of many words, flat, ordered by end position within the word."""
 
     def __init__(self, model: PieceModel, words: list[str]):
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        self.base = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]  # a word of n characters has n + 1 states
-        self.last = self.base + sizes
-        self.states = int(sizes.sum()) + len(words)
+        self.sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.base = np.concatenate(([0], np.cumsum(self.sizes + 1)))[:-1]  # a word of n characters has n + 1 states
+        self.last = self.base + self.sizes
+        self.states = int(self.sizes.sum()) + len(words)
+        self.reach = model.longest
         ends, starts, pieces, depth = (array("i") for _ in range(4))  # four bytes each, not objects
         known = model.characters
         for base, word in zip(self.base.tolist(), words, strict=True):
@@ -64,41 +72,97 @@ class Matches:
                 starts.append(base + last + 1 - size)
                 pieces.append(i)
                 depth.append(last)
-            for last, c in enumerate(word):
-                if c not in known:
-                    ends.append(base + last + 1)
-                    starts.append(base + last)
-                    pieces.append(-1)
-                    depth.append(last)
+            if not known.issuperset(word):
+                for last, c in enumerate(word):
+                    if c not in known:
+                        ends.append(base + last + 1)
+                        starts.append(base + last)
+                        pieces.append(-1)
+                        depth.append(last)
         depth = np.array(depth, dtype=np.int32)
         order = np.argsort(depth, kind="stable")
         self.end, self.start, self.piece = (np.array(x, dtype=np.int32)[order] for x in (ends, starts, pieces))
         self.cuts = np.searchsorted(depth[order], np.arange(depth.max(initial=-1) + 2))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """(states, languages): summed probability of all segmentations up to each state."""
+        self.long = np.flatnonzero(self.sizes > RESCALE)
+        self.long = self.long[np.argsort(-self.sizes[self.long], kind="stable")]  # those that go on come first
+
+    def _rescale(self, x: np.ndarray, position: int, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Divide the states within reach of ``position`` by their largest value; (words, logarithms)."""
+        words = self.long[: np.searchsorted(-self.sizes[self.long], -position)]  # longer than position
+        window = self.base[words][:, None] + np.arange(max(0, position - self.reach + 1), position + 1)
+        largest = x[window].max(axis=1)
+        x[window] /= largest[:, None]
+        logs[words] += np.log(largest)
+        return words, np.log(largest)
+
+    def _per_state(self, steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> np.ndarray | None:
+        """Sum of the logarithms that apply to each state; a step is (first states, states after the last, logarithms)."""
+        if not steps:
+            return None
+        change = np.zeros((self.states + 1, width))
+        for first, after, log in steps:
+            np.add.at(change, first, log)
+            np.subtract.at(change, after, log)
+        return np.cumsum(change, axis=0)[:-1]
+
+    def scaled_forward(self, p: np.ndarray, per_state: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Summed probability of all segmentations up to each state, for each column of p.
+
+        Returns (alpha, logs, of_states): a word's total is ``log(alpha[last]) +
+        logs``; if asked, ``of_states`` holds the logarithm each state's value
+        has been divided by, or is None where no word is long.
+        """
         alpha = np.zeros((self.states, p.shape[1]))
         alpha[self.base] = 1.0
-        weight = p[self.piece]
-        for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+        logs, steps, weight = np.zeros((len(self.sizes), p.shape[1])), [], p[self.piece]
+        for position, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True), 1):
             np.add.at(alpha, self.end[a:b], alpha[self.start[a:b]] * weight[a:b])
-        return alpha
-
-    def backward(self, p: np.ndarray) -> np.ndarray:
+            if position % RESCALE == 0 and len(self.long):
+                words, log = self._rescale(alpha, position, logs)
+                if per_state:
+                    steps.append((self.base[words] + max(0, position - self.reach + 1), self.last[words] + 1, log))
+        return alpha, logs, self._per_state(steps, p.shape[1])
+
+    def scaled_backward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """The same from the words' ends, with the logarithm of each state."""
         beta = np.zeros((self.states, p.shape[1]))
         beta[self.last] = 1.0
-        weight = p[self.piece]
-        for a, b in zip(self.cuts[:-1][::-1], self.cuts[1:][::-1], strict=True):
+        logs, steps, weight = np.zeros((len(self.sizes), p.shape[1])), [], p[self.piece]
+        for position in range(len(self.cuts) - 2, -1, -1):  # pieces that end at position + 1 are the next ones
+            a, b = self.cuts[position], self.cuts[position + 1]
             np.add.at(beta, self.start[a:b], beta[self.end[a:b]] * weight[a:b])
-        return beta
+            if position and position % RESCALE == 0 and len(self.long):
+                words, log = self._rescale(beta, position, logs)
+                steps.append((self.base[words], self.base[words] + position + 1, log))
+        return beta, logs, self._per_state(steps, p.shape[1])
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """(states, languages): the probabilities themselves, which a double holds for words of some 40 characters."""
+        alpha, _, ahead = self.scaled_forward(p, per_state=True)
+        return alpha if ahead is None else alpha * np.exp(ahead)
+
+    def backward(self, p: np.ndarray) -> np.ndarray:
+        beta, _, behind = self.scaled_backward(p)
+        return beta if behind is None else beta * np.exp(behind)
+
+    def expected(self, p: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
+        """Expected uses of each of ``size`` entries of the one-column p, words counted ``times``."""
+        alpha, logs, ahead = self.scaled_forward(p, per_state=True)
+        beta, _, behind = self.scaled_backward(p)
+        total = np.log(alpha[self.last, 0]) + logs[:, 0]
+        own = np.searchsorted(self.base, self.start, side="right") - 1
+        scale = -total[own]
+        if ahead is not None:
+            scale += ahead[self.start, 0]
+        if behind is not None:
+            scale += behind[self.end, 0]
+        uses = alpha[self.start, 0] * p[self.piece, 0] * beta[self.end, 0] * np.exp(scale) * times[own]
+        return np.bincount(self.piece % size, weights=uses, minlength=size)
 
 
 def letters(chunk: bytes) -> list[str]:
-    """Words of a chunk in the vocabulary's form, long ones in stretches."""
-    words = [SPACE + w for w in LETTERS.findall(chunk.decode().lower())]
-    if any(len(w) > STRETCH for w in words):
-        words = [w[i : i + STRETCH] for w in words for i in range(0, len(w), STRETCH)]
-    return words
+    """Words of a chunk in the vocabulary's form."""
+    return [SPACE + w for w in LETTERS.findall(chunk.decode().lower())]
 
 
 class LanguageModel:
@@ -124,17 +188,10 @@ class LanguageModel:
             p = np.full((size + 1, 1), 1.0 / size)
             p[-1] = UNKNOWN
             if words:
-                forms, times = list(words), np.array(list(words.values()), dtype=float)[:, None]
+                forms, times = list(words), np.array(list(words.values()), dtype=float)
                 blocks = [(Matches(model, forms[i : i + 20_000]), times[i : i + 20_000]) for i in range(0, len(forms), 20_000)]
                 for _ in range(rounds):
-                    total = np.zeros(size + 1)
-                    for matches, n in blocks:
-                        alpha, beta = matches.forward(p), matches.backward(p)
-                        share = n / np.maximum(alpha[matches.last], 1e-300)
-                        own = np.searchsorted(matches.base, matches.start, side="right") - 1
-                        expected = alpha[matches.start] * p[matches.piece] * beta[matches.end] * share[own]
-                        total += np.bincount(matches.piece % (size + 1), weights=expected[:, 0], minlength=size + 1)
-                    total = total[:size]
+                    total = sum(matches.expected(p, n, size + 1) for matches, n in blocks)[:size]
                     p[:size, 0] = np.maximum(total / max(total.sum(), 1e-300), FLOOR)
             out[:, k] = p[:, 0]
         out[-1] = UNKNOWN
@@ -143,7 +200,8 @@ class LanguageModel:
     def word_scores(self, model: PieceModel, words: list[str]) -> np.ndarray:
         """(words, languages) log probabilities."""
         matches = Matches(model, words)
-        return np.log(np.maximum(matches.forward(self.probabilities)[matches.last], 1e-300))
+        alpha, logs, _ = matches.scaled_forward(self.probabilities)
+        return np.log(alpha[matches.last]) + logs
 
 
 class _Scorer:

@@ -50,6 +50,7 @@ class PieceModel:
         self.automaton.make_automaton()
         #: Characters that are pieces by themselves; only others can be unknown.
         self.characters = frozenset(self.pieces[i] for i in self.normal if len(self.pieces[i]) == 1)
+        self.longest = max((len(self.pieces[i]) for i in self.normal), default=1)
         self.inner_space = any(SPACE in p.lstrip(SPACE) for p in (self.pieces[i] for i in self.normal))
         self.raw = [self.pieces[i].encode() for i in range(n)]
         for b, i in self.bytes.items():
