@@ -8,8 +8,11 @@ fit did not see, and scored in Arrow batches against a fixed probability.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 label other than 0 or 1 and a label without a text take no part; with labels of
-one kind only the model keeps whatever passes the base rules; repeated rows are
-separate documents; an empty table gives no rows.
+one kind only the model keeps whatever passes the base rules; a very long text
+is scored whole, and only those of at most ``TRAINING_TEXT_BYTES`` bytes take
+part in the fit; a null id is kept as null and has no label; a probability that
+equals the threshold is kept; repeated rows are separate documents; other
+columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 #: Labelled rows the model is fitted and calibrated on (about so many, at most twice as many).
-TRAINING_ROWS = 1_500
+TRAINING_ROWS = 3_000
 #: Longer texts are scored like all others but do not take part in the fit.
 TRAINING_TEXT_BYTES = 65_536
 #: One in so many of them, by hash of the text, is kept for calibration.
@@ -80,6 +83,49 @@ def _pair_buckets(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return _bucket(first * _STEP ^ (second + _MIX), 2)
 
 
+@dataclass
+class _Block:
+    """Features of a run of texts, one after the other: eight bytes each."""
+
+    rows: slice
+    sizes: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        """Sum of weight times value for each text."""
+        out, there = np.zeros(len(self.sizes)), np.flatnonzero(self.sizes)
+        if len(there):
+            starts = (np.cumsum(self.sizes) - self.sizes)[there]
+            out[there] = np.add.reduceat(w.take(self.column) * self.value, starts)
+        return out
+
+    def back(self, error: np.ndarray, size: int) -> np.ndarray:
+        """Sum of error times value for each table entry."""
+        return np.bincount(self.column, weights=self.value * np.repeat(error, self.sizes), minlength=size)
+
+
+def _feature_blocks(texts: list[bytes], texts_each: int = 64) -> Iterator[_Block]:
+    """Table entries and values of each text: the mean of each kind of feature."""
+    for first in range(0, len(texts), texts_each):
+        some, sizes, columns, values = texts[first : first + texts_each], [], [], []
+        for text in some:
+            words, before = text.split(), sum(map(len, columns))
+            if words:
+                kinds = WordIds()
+                own = np.fromiter(map(kinds.__getitem__, words), dtype=np.int64, count=len(words))
+                hashes, times = _word_hashes(list(kinds)), np.bincount(own)
+                owner, grams = _char_buckets(list(kinds))
+                for bucket, weight in ((_bucket(hashes, 0), times), (grams, times[owner]), (_pair_buckets(hashes[own[:-1]], hashes[own[1:]]), np.ones(len(own) - 1))):
+                    if len(bucket):
+                        kind, at = np.unique(bucket, return_inverse=True)
+                        columns.append(kind.astype(np.int32))
+                        values.append((np.bincount(at, weights=weight) / weight.sum()).astype(np.float32))
+            sizes.append(sum(map(len, columns)) - before)
+        none = [np.zeros(0, dtype=np.int32)]
+        yield _Block(slice(first, first + len(some)), np.array(sizes), np.concatenate(columns or none), np.concatenate(values or none))
+
+
 @dataclass
 class QualityModel:
     weights: np.ndarray
@@ -99,39 +145,28 @@ class QualityModel:
         aside = np.array([xxh64_intdigest(t, seed=7) % CALIBRATION_SHARE == 0 for t in texts], dtype=bool)
         if len({*y[~aside]}) < 2 or len({*y[aside]}) < 2:
             return cls(np.zeros(1 << TABLE_BITS, dtype=np.float32), 0.0, 0.0, 50.0)
-        rows, columns, values = [], [], []
-        for k, text in enumerate(texts):
-            words = text.split()
-            if not words:
-                continue
-            kinds = WordIds()
-            own = np.fromiter(map(kinds.__getitem__, words), dtype=np.int64, count=len(words))
-            hashes, times = _word_hashes(list(kinds)), np.bincount(own)
-            owner, grams = _char_buckets(list(kinds))
-            for bucket, weight in ((_bucket(hashes, 0), times), (grams, times[owner]), (_pair_buckets(hashes[own[:-1]], hashes[own[1:]]), np.ones(len(own) - 1))):
-                if len(bucket):
-                    kind, at = np.unique(bucket, return_inverse=True)
-                    rows.append(np.full(len(kind), k, dtype=np.int32))
-                    columns.append(kind.astype(np.int32))
-                    values.append((np.bincount(at, weights=weight) / weight.sum()).astype(np.float32))
-        row, column, value = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
-        del rows, columns, values
+        blocks = list(_feature_blocks(texts))
         size = 1 << TABLE_BITS
         fit = ~aside
         share = y[fit].mean()
         importance = np.where(fit, np.where(y == 1, 0.5 / share, 0.5 / (1 - share)), 0.0) / fit.sum()  # both kinds weigh alike
         w, m, v, bias, mb, vb = np.zeros(size), np.zeros(size), np.zeros(size), 0.0, 0.0, 0.0
+        logits = np.zeros(len(y))
         for step in range(1, STEPS + 1):
-            logits = np.bincount(row, weights=w[column] * value, minlength=len(y)) + bias
-            error = (1.0 / (1.0 + np.exp(-np.clip(logits, -50, 50))) - y) * importance
-            g = np.bincount(column, weights=value * error[row], minlength=size) + DECAY * w / len(y)
+            g, error = DECAY * w / len(y), np.zeros(len(y))
+            for block in blocks:
+                own = block.rows
+                logits[own] = block.sums(w) + bias
+                error[own] = (1.0 / (1.0 + np.exp(-np.clip(logits[own], -50, 50))) - y[own]) * importance[own]
+                g += block.back(error[own], size)
             gb = error.sum()
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             a, b = 1 - 0.9**step, 1 - 0.999**step
             w -= RATE * (m / a) / (np.sqrt(v / b) + 1e-9)
             bias -= RATE * (mb / a) / (np.sqrt(vb / b) + 1e-9)
-        logits = np.bincount(row, weights=w[column] * value, minlength=len(y)) + bias
+        for block in blocks:
+            logits[block.rows] = block.sums(w) + bias
         slope, offset = _logistic_curve(logits[aside], y[aside])
         return cls(w.astype(np.float32), float(bias), slope, offset)
 

@@ -1,7 +1,9 @@
+import math
 import random
 import re
 
 import numpy as np
+import xxhash
 
 from quillspark.llm import quality
 
@@ -67,3 +69,52 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.score(docs, quality.train(docs, labels)).count() == 0
+
+
+def bucket(h, group):
+    mix, most = 0x9E3779B97F4A7C15, 2**64
+    h = (h + group + 1) * mix % most
+    return (h ^ h >> 29) * mix % most >> 64 - quality.TABLE_BITS
+
+
+def plain_probability(model, text):
+    """Feature by feature: words, character 3- to 5-grams of each word between spaces, word pairs."""
+    words = WORD.findall(text)
+    hashes = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+    grams = []
+    for w in words:
+        padded = f" {w} "
+        for n in (3, 4, 5):
+            for i in range(len(padded) - n + 1):
+                h = 0
+                for k, c in enumerate(padded[i : i + n]):
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64 if k else ord(c)
+                grams.append(bucket(h, n))
+    pairs = [bucket((a * 0x100000001B3 % 2**64) ^ (b + 0x9E3779B97F4A7C15) % 2**64, 2) for a, b in zip(hashes, hashes[1:], strict=False)]
+    logit = model.bias + sum(sum(float(model.weights[i]) for i in own) / len(own) for own in ([bucket(h, 0) for h in hashes], grams, pairs) if own)
+    return 1 / (1 + math.exp(-(model.slope * logit + model.offset)))
+
+
+def test_probability_equals_a_sum_feature_by_feature(spark):
+    rng = np.random.default_rng(4)
+    model = quality.QualityModel(rng.normal(size=1 << quality.TABLE_BITS).astype(np.float32), 0.3, 1.7, -0.2)
+    own = ["one", "Überall é 🤖 one two", "river light\nriver light", *(" ".join(rng.choice(["the", "of", "naïve", "$$", "ж"], 90)) for _ in range(6)), "long word " * 30_000]
+    docs = spark.createDataFrame([*enumerate(own), (3, own[3]), (None, own[4])], "doc_id long, text string").repartition(3)
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(own) + 2 and sum(r.doc_id == 3 for r in got) == 2
+    for r in got:
+        expected = plain_probability(model, own[4 if r.doc_id is None else r.doc_id])
+        assert math.isclose(r.quality, expected, rel_tol=1e-6)
+        assert r.kept == (not r.base_failed and expected >= quality.KEEP_PROBABILITY)
+
+
+def test_fit_does_not_depend_on_how_texts_are_cut_into_blocks():
+    rng = random.Random(1)
+    own = [" ".join(rng.choice(["a", "bb", "ccc", "d|"] if i % 2 else ["x", "yy", "é"]) for _ in range(rng.randint(0, 40))).encode() for i in range(150)]
+    blocks = [list(quality._feature_blocks(own, n)) for n in (7, 150)]
+    w = np.random.default_rng(0).normal(size=1 << quality.TABLE_BITS)
+    one, two = (np.concatenate([b.sums(w) for b in some]) for some in blocks)
+    assert np.allclose(one, two) and len(one) == 150
+    error = np.arange(150.0)
+    assert np.allclose(*(sum(b.back(error[b.rows], len(w)) for b in some) for some in blocks))
+    assert math.isclose(float(error @ one), float(sum(b.back(error[b.rows], len(w)) for b in blocks[1]) @ w), rel_tol=1e-9)
