@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .skew import join_by_key
 from .storage import stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: every node's larger (large) or smaller (small) neighbours point to its least neighbour."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One step: every node's larger (large) or smaller (small) neighbours point to its least neighbour.
+
+    Nodes with very many neighbours meet theirs by broadcast.
+    """
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = join_by_key(both, least, "a", "n", 2 * total if large else total)
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -36,7 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         if not before[0]:
             break
-        now = stored(_star(_star(now, large=True), large=False), "edges")
+        now = stored(_star(_star(now, True, before[0]), False, before[0]), "edges")
         after = digest(now)
         if after == before:
             break

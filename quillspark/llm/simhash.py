@@ -10,12 +10,18 @@ different fingerprint, and every pair met is checked bit by bit.
 
 Equal fingerprints are one point, so copies never meet each other in the join.
 Within a cell only a spanning forest of the links is emitted: components stay
-those of all links, and a group of near copies gives no quadratic output.
+those of all links, and a group of near copies gives no quadratic output. Cells
+around one that holds more than its share of points are dealt out by parts of
+their half: of three parts, two that differ in at most two bits share one.
 
 Defined cases: a text without words, an empty or a null text has fingerprint
 zero and is linked like any other; fewer words than a shingle form one shingle;
-repeated rows are separate documents with one component; rows with a null id get
-a null component unless they share a fingerprint with, or link to, an id.
+a bit set in exactly half of the hashes is 0; a very long text is hashed whole,
+in runs of shingles; repeated rows are separate documents with one component;
+rows with a null id get a null component unless they share a fingerprint with,
+or link to, an id; other columns, whatever their names, are not looked at by
+``near_duplicates`` and come back as they were from ``one_of_each``; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
+from .skew import free_name, join_by_key
 from .storage import stored
 from .words import id_and_text, raw_texts, slices
 
@@ -67,7 +74,11 @@ def _cells(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A cell is the 16 counts, two bits each; steps stay within 0..2, as some
     point between two embeddings always does.
     """
-    own = half - ((half >> 1) & 0x55555555)
+    return _around(half - ((half >> 1) & 0x55555555))
+
+
+def _around(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the given cells and all cells one step away."""
     rows, cells = [np.arange(len(own))], [own]
     for at in range(0, 32, 2):
         count = (own >> at) & 3
@@ -78,17 +89,57 @@ def _cells(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cells)
 
 
-def grid_rows(points: DataFrame) -> DataFrame:
-    """(cell, fp, node) for both halves of every point (fp, node)."""
+#: Cells with more own points than this, and than their share of all points, are heavy.
+HEAVY_CELL, HEAVY_CELLS = 50_000, 65_536
+#: First bit and width of the three parts of a half.
+PARTS = ((0, 11), (11, 11), (22, 10))
+#: Bits of a grid row's key that tell the parts of a heavy cell apart.
+PART_BITS = 13
+
+
+def heavy_cells(points: DataFrame, total: int) -> np.ndarray:
+    """Cells that take points of a heavy own cell, sorted.
+
+    Every heavy cell has over ``1 / HEAVY_CELLS`` of the 2 x ``total`` own cells, so
+    there are less than that many, and at most 33 times as many around them:
+    17 MB, whatever the table. A cell that is not listed holds at most 33 times
+    the share of points.
+    """
+    most = max(HEAVY_CELL, 2 * total // HEAVY_CELLS)
+    if total <= most:
+        return np.zeros(0, dtype=np.int64)
+    low = F.lit(0xFFFFFFFF)
+    halves = points.select(F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(low).alias("bits")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("bits")))).alias("x"))
+    own = (F.col("x.bits") - F.shiftright("x.bits", 1).bitwiseAND(F.lit(0x55555555))).alias("own")
+    found = halves.groupBy(F.col("x.half").alias("half"), own).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("half", "own").collect()
+    out = [np.zeros(0, dtype=np.int64)]
+    for r in found:
+        around = np.array([r.own], dtype=np.int64)
+        out.append(_around(around)[1] + (r.half << 32))
+    return np.unique(np.concatenate(out))
+
+
+def grid_rows(points: DataFrame, heavy: np.ndarray | None = None) -> DataFrame:
+    """(cell, fp, node) for both halves of every point (fp, node); heavy cells in parts."""
+    heavy = np.zeros(0, dtype=np.int64) if heavy is None else heavy
+    shared = points.sparkSession.sparkContext.broadcast(heavy) if len(heavy) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value if shared else None
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 fp, node = part.column("fp").to_numpy(), part.column("node").to_numpy()
                 for half in (0, 1):
-                    rows, cells = _cells((fp >> (32 * half)) & 0xFFFFFFFF)
-                    yield pa.RecordBatch.from_arrays([pa.array(cells + (half << 32)), pa.array(fp[rows]), pa.array(node[rows])], names=["cell", "fp", "node"])
+                    bits = (fp >> (32 * half)) & 0xFFFFFFFF
+                    rows, cells = _cells(bits)
+                    keys = (cells + (half << 32)) << PART_BITS
+                    if hot is not None:
+                        at_hot = hot[np.minimum(np.searchsorted(hot, cells + (half << 32)), len(hot) - 1)] == cells + (half << 32)
+                        own, key = rows[at_hot], keys[at_hot]
+                        split = [key + 1 + (k << 11) + ((bits[own] >> first) & ((1 << width) - 1)) for k, (first, width) in enumerate(PARTS)]
+                        rows, keys = np.concatenate((rows[~at_hot], *(own for _ in PARTS))), np.concatenate((keys[~at_hot], *split))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows]), pa.array(node[rows])], names=["cell", "fp", "node"])
 
     return points.mapInArrow(run, "cell long, fp long, node long")
 
@@ -114,15 +165,16 @@ class _Forest:
         return True
 
 
-def _far_apart(fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (i, j) that connect what all links within one large cell connect.
+def _by_leaders(fp: np.ndarray, left: np.ndarray, distance: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
+    """Links around at most ``most`` leaders of the points ``left``; last, the points still open.
 
     A leader's near points are one component. By the triangle inequality only
     points within twice the distance of the leader can link to them, one link
     each is enough, and the leader's near points then need no further look.
     """
-    left = np.arange(len(fp))
-    while len(left) > 1:
+    for _ in range(most):
+        if len(left) < 2:
+            break
         far = np.bitwise_count(fp[left] ^ fp[left[0]])
         near, ring = left[far <= distance], left[(far > distance) & (far <= 2 * distance)]
         if len(near) > 1:
@@ -138,19 +190,41 @@ def _far_apart(fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.n
                     yield part[hit.argmax(axis=1)[any_hit]], some[any_hit]
                     seen |= any_hit
         left = left[far > distance]
+    yield left
 
 
-#: Longer runs of one cell are searched by leaders instead of by all offsets.
+#: Longer runs of one cell are searched by leaders, and what is left by blocks of bits, instead of by all offsets.
 LONG_RUN = 256
+LEADERS = 32
 
 
-def _links(cell: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (i, j) within cells of rows sorted by cell."""
+def _links(cell: np.ndarray, fp: np.ndarray, distance: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (i, j) within cells of rows sorted by cell.
+
+    Crowded points of a long run are taken out by leaders. The others are sorted
+    by each of ``distance`` + 1 blocks of bits in turn: two fingerprints within
+    the distance are equal in one of them, so all pairs lie within runs of equal
+    blocks, which are far shorter. Deeper, the blocks begin at other bits.
+    """
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     sizes = np.diff(np.append(starts, len(cell)))
     for s, n in zip(starts[sizes > LONG_RUN], sizes[sizes > LONG_RUN], strict=True):
-        for i, j in _far_apart(fp[s : s + n], distance):
-            yield i + s, j + s
+        left = np.arange(s, s + n)
+        for found in _by_leaders(fp, left, distance, LEADERS if depth < 3 else n):
+            if isinstance(found, tuple):
+                yield found
+            else:
+                left = found
+        if len(left) < 2:
+            continue
+        turn = np.uint64(1 + 6 * depth)
+        bits = fp[left] >> turn | fp[left] << (np.uint64(64) - turn)
+        width = -(-BITS // (distance + 1))
+        for at in range(0, BITS, width):
+            block = bits >> np.uint64(at) & np.uint64((1 << min(width, BITS - at)) - 1)
+            order = np.argsort(block, kind="stable")
+            for i, j in _links(block[order], fp[left[order]], distance, depth + 1):
+                yield left[order[i]], left[order[j]]
     left = np.repeat(np.where(sizes <= LONG_RUN, starts + sizes, 0), sizes)  # end of each row's run
     rows = np.arange(len(cell))
     for k in range(1, LONG_RUN):
@@ -162,11 +236,12 @@ def _links(cell: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np
             yield hit, hit + k
 
 
-def near_links(points: DataFrame, distance: int = 4) -> DataFrame:
+def near_links(points: DataFrame, distance: int = 4, total: int = 0) -> DataFrame:
     """(a, b): links whose components are those of all pairs within ``distance``.
 
     Rows are dealt out by cell and sorted, so that a cell is a run; a run is kept
-    until it ends, 16 bytes for each different fingerprint of the cell.
+    until it ends, 16 bytes for each different fingerprint of the cell, or of
+    one part of a heavy cell.
     """
     if distance > 4:
         raise ValueError("the grid of two halves and single steps finds distances up to 4")
@@ -198,16 +273,16 @@ def near_links(points: DataFrame, distance: int = 4) -> DataFrame:
         if kept and (out := found(*(np.concatenate(x) for x in zip(*kept, strict=True)))):
             yield out
 
-    return grid_rows(points).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return grid_rows(points, heavy_cells(points, total)).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     own = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    points = stored(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
-    labels = connected_components(near_links(points.where("node IS NOT NULL"), distance))
-    named = points.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    points = stored(own.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "points")
+    labels = connected_components(near_links(points.where("node IS NOT NULL").drop("n"), distance, points.count()))
+    named = points.join(labels, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    return join_by_key(own, named, "fp", "n", own.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,10 +291,12 @@ def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str
     Only ids that go are joined back, so Spark broadcasts them while they are
     few. Rows that repeat an id are one document, and one of them stays; they
     are looked for by id alone, and texts are moved only where there are any.
+    Rows with a null id stay.
     """
-    gone = near_duplicates(docs, words, distance, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
-    again = stored(docs.groupBy(F.col(id_col).alias("again_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND again_id IS NOT NULL").select("again_id"), "repeated")
+    name = free_name(docs, "id_that_goes")
+    gone = near_duplicates(docs, words, distance, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, docs[id_col] == F.col(name), "left_anti")
+    again = stored(docs.select(F.col(id_col).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias(f"{name}_n")).where(f"{name}_n > 1 AND {name} IS NOT NULL").select(name), "repeated")
     if again.isEmpty():
         return kept
-    return kept.join(again, kept[id_col] == F.col("again_id"), "left_anti").unionByName(kept.join(again, kept[id_col] == F.col("again_id"), "left_semi").dropDuplicates([id_col]))
+    return kept.join(again, kept[id_col] == F.col(name), "left_anti").unionByName(kept.join(again, kept[id_col] == F.col(name), "left_semi").dropDuplicates([id_col]))

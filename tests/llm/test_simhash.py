@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 import xxhash
 
-from quillspark.llm import simhash
+from quillspark.llm import simhash, skew
 from quillspark.llm.components import connected_components
 
 
@@ -106,3 +107,51 @@ def test_components_of_a_long_path(spark):
     edges = [(a, b) for a, b in zip(path, path[1:], strict=False)] + [(1000, 1001), (1001, 1000), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(200)} | {1000: 1000, 1001: 1000}
+
+
+def test_far_points_of_one_cell_take_no_quadratic_time():
+    """100,000 points of one own cell, nearly all far apart: a leader a point would take minutes."""
+    rng = np.random.default_rng(5)
+    n = 100_000
+    low = np.zeros(n, dtype=np.uint64)
+    for at in range(0, 32, 2):  # each segment has one bit of two, so all have the same counts
+        low |= np.uint64(1) << (rng.integers(0, 2, n).astype(np.uint64) + np.uint64(at))
+    fp = np.unique(low | rng.integers(0, 1 << 32, n, dtype=np.uint64) << np.uint64(32))
+    near = fp[:50] ^ np.uint64(0b11 << 40)  # planted: two bits of the other half differ
+    fp = np.unique(np.concatenate((fp, near)))
+    began = time.perf_counter()
+    links = [(int(a), int(b)) for i, j in simhash._links(np.zeros(len(fp), dtype=np.int64), fp, 4) for a, b in zip(i, j, strict=True)]
+    assert time.perf_counter() - began < 40
+    assert all((int(fp[a]) ^ int(fp[b])).bit_count() <= 4 for a, b in links)
+    found = {frozenset((int(fp[a]), int(fp[b]))) for a, b in links}
+    assert all(frozenset((int(x), int(x) ^ (0b11 << 40))) in found for x in fp[np.isin(fp, near)])
+
+
+def test_heavy_cells_and_frequent_fingerprints(spark, monkeypatch):
+    """The same components when every cell is heavy, and when a third of the rows share one fingerprint."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 60]))) for _ in range(150)]
+    texts += [t + " a" for t in texts[:50]] + [None] * 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert expected == brute_components(range(len(texts)), [brute_fingerprint(t) for t in texts])
+    monkeypatch.setattr(simhash, "HEAVY_CELL", 0)
+    monkeypatch.setattr(skew, "FREQUENT_ROWS", 4)
+    points = spark.createDataFrame([(5, 1), (-7, 2)], "fp long, node long")
+    assert len(simhash.heavy_cells(points, 10)) > 60 and len(simhash.heavy_cells(points, 0)) == 0
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == expected
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    rows = [(1, "a b c d e", 1, 2), (2, "a b c d e", 3, 4), (2, "a b c d e", 3, 4), (3, "x y", 5, 6), (3, "x y", 7, 8), (None, "q", 9, 9), (None, "q", 9, 9)]
+    for names in ("gone_id", "again_id"), ("component_id", "fp"), ("id_that_goes", "ID_THAT_GOES_"), ("node", "n"), ("a", "b"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names[0]} long, {names[1]} long")
+        kept = simhash.one_of_each(df)
+        assert kept.columns == df.columns
+        assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3]
+
+
+def test_very_long_text(spark):
+    text = "Alpha beta GAMMA delta epsilon " * 40_000
+    [row] = simhash.near_duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.fingerprint == f"{brute_fingerprint(text):016x}"
