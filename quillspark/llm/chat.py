@@ -2,71 +2,92 @@
 
 Logged conversations are often saved after every turn, so that one is a prefix
 of the next. The hash of a prefix of n turns is the sum, over its turns, of a
-hash of (position, role, text): sums can be taken in blocks of turns, so a
-conversation of any length is never one task's work. Two sums with different
-salts and the length identify a prefix. Conversations with the same full hash
-are copies, and the smallest id stays; those whose full hash is among the hashes
-of proper prefixes are left out by an anti-join.
+hash of (position, role, text), modulo 2**61: sums can be taken in blocks of
+turns, so a conversation of any length is never one task's work. Two sums with
+different salts and the length identify a prefix. Conversations with the same
+full hash are copies, and the smallest id stays; those whose full hash is among
+the hashes of proper prefixes are left out by an anti-join.
+
+Texts are dealt out once, by conversation and block; positions, hashes, offsets
+and rendering all work on that one exchange, which Spark reads again for each of
+them. What goes between blocks and conversations is one narrow row a block.
 
 Each turn is rendered as one row with the offset of its first character, so a
 long chat needs no row that holds all of it.
 
 Defined cases: rows with a null conversation id take no part; repeated rows count
 once; turns are ordered by turn, role and text, a null turn last; a null role is
-``unknown`` and a null text empty; an empty table gives no rows.
+``unknown`` and a null text empty; very long texts are rendered whole; other
+columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from .storage import stored
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 #: Turns whose number falls into one block are ranked together; longer conversations have more blocks.
 BLOCK_TURNS = 1024
 UNKNOWN_ROLE = "unknown"
+#: Sums of hashes are kept modulo this; within a block they are sums of 40 bits.
+MODULUS = 2**61
+
+_BLOCK = ["conv_id", "block"]
+_SUMS = ("one", "two", "ends")
+
+
+def _inside() -> WindowSpec:
+    """Turns of a block up to the present one."""
+    return Window.partitionBy(*_BLOCK).orderBy(F.col("turn").asc_nulls_last(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], block: str) -> DataFrame:
-    """Running sums in order, inside blocks and then over the blocks' totals."""
-    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.groupBy(*keys, block).agg(*(F.sum(c).alias(f"{n}_total") for n, c in sums.items()))
-    over = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, block, *(F.coalesce(F.sum(f"{n}_total").over(over), F.lit(0)).alias(f"{n}_before") for n in sums))
-    own = df.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-    return own.join(before, [*keys, block]).withColumns({n: F.col(n) + F.col(f"{n}_before") for n in sums}).drop(*(f"{n}_before" for n in sums))
+def turns_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(conv_id, block, turn, role, text): the different turns, dealt out by conversation and block."""
+    turns = conversations.select(
+        F.col(conv_col).cast("long").alias("conv_id"),
+        F.col(turn_col).cast("long").alias("turn"),
+        F.coalesce(F.col(role_col).cast("string"), F.lit(UNKNOWN_ROLE)).alias("role"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    ).where("conv_id IS NOT NULL")
+    turns = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(2**62)))
+    return turns.repartition(*_BLOCK).distinct()  # equal rows are in one partition already
 
 
-def numbered_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, block, position, role, text, one, two): turns from 1, with running hashes.
+def numbered_turns(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
+    """The turns with their position from 1, what they render to, and running sums inside their block.
 
-    ``one`` and ``two`` are sums of 40-bit hashes, which fit 64 bits for prefixes
-    of up to eight million turns; the sum of a longer one is an error, not wrong.
+    ``one`` and ``two`` are sums of 40-bit hashes, which fit 64 bits for blocks
+    of up to eight million different turns; the sum of a larger block is an
+    error, not wrong.
     """
-    turns = (
-        conversations.select(
-            F.col(conv_col).cast("long").alias("conv_id"),
-            F.col(turn_col).cast("long").alias("turn"),
-            F.coalesce(F.col(role_col).cast("string"), F.lit(UNKNOWN_ROLE)).alias("role"),
-            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        )
-        .where("conv_id IS NOT NULL")
-        .distinct()
-        .withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(2**62)))
-    )
-    order = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
-    ranked = _running(turns, ["conv_id"], order, {"position": F.lit(1)}, "block").drop("turn")
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tally = turns.groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    before = tally.select(*_BLOCK, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("turns_before"))
+    own = turns.withColumn("local", F.row_number().over(_inside())).join(before, _BLOCK)
+    own = own.withColumn("position", F.col("local") + F.col("turns_before")).drop("local", "turns_before")
+    own = own.withColumn("rendered", F.concat(F.lit(start), F.col("role"), F.lit("\n"), F.col("text"), F.lit(end + "\n")))
     hashes = {n: F.shiftrightunsigned(F.xxhash64("position", "role", "text", F.lit(salt)), 24) for n, salt in (("one", 1), ("two", 2))}
-    return _running(ranked, ["conv_id"], [F.col("position")], hashes, "block")
+    return own.withColumns({n: F.sum(c).over(_inside()) for n, c in (hashes | {"ends": F.length("rendered").cast("long")}).items()})
+
+
+def block_sums(numbered: DataFrame) -> DataFrame:
+    """One row a block: the sums of earlier blocks, and those of the whole conversation with its length."""
+    totals = numbered.groupBy(*_BLOCK).agg(F.max("position").alias("n"), *(F.max_by(c, "position").cast("decimal(38,0)").alias(c) for c in _SUMS))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    part = lambda c, over: F.pmod(F.coalesce(F.sum(c).over(over), F.lit(0).cast("decimal(38,0)")), F.lit(MODULUS).cast("decimal(38,0)")).cast("long")
+    return totals.select(*_BLOCK, F.max("n").over(whole).alias("n_turns"), *(part(c, earlier).alias(f"{c}_before") for c in _SUMS), *(part(c, whole).alias(f"{c}_whole") for c in _SUMS[:2]))
+
+
+def _prefix(c: str) -> Column:
+    return F.pmod(F.col(c) % MODULUS + F.col(f"{c}_before"), F.lit(MODULUS))
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns): conversations that are neither copies of a smaller id nor proper prefixes of others."""
-    last = turns.groupBy("conv_id").agg(F.max("position").alias("n_turns"), F.max_by("one", "position").alias("one"), F.max_by("two", "position").alias("two"))
-    whole = last.groupBy("n_turns", "one", "two").agg(F.min("conv_id").alias("conv_id"))
-    lengths = last.select("conv_id", "n_turns")
-    proper = turns.join(lengths, "conv_id").where("position < n_turns").select(F.col("position").alias("n_turns"), "one", "two").distinct()
-    return whole.join(proper, ["n_turns", "one", "two"], "left_anti").select("conv_id", "n_turns")
+def maximal_conversations(numbered: DataFrame, sums: DataFrame) -> DataFrame:
+    """(conv_id): conversations that are neither copies of a smaller id nor proper prefixes of others."""
+    whole = sums.groupBy("n_turns", F.col("one_whole").alias("one"), F.col("two_whole").alias("two")).agg(F.min("conv_id").alias("conv_id"))
+    proper = numbered.select(*_BLOCK, "position", "one", "two").join(sums, _BLOCK).where("position < n_turns")
+    proper = proper.select(F.col("position").alias("n_turns"), _prefix("one").alias("one"), _prefix("two").alias("two")).distinct()
+    return whole.join(proper, ["n_turns", "one", "two"], "left_anti").select("conv_id")
 
 
 def render(conversations: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>", **columns: str) -> DataFrame:
@@ -75,9 +96,8 @@ def render(conversations: DataFrame, start: str = "<|im_start|>", end: str = "<|
     ``start`` counts the characters rendered before the turn; put together in
     order of position, ``rendered`` is the chat.
     """
-    turns = stored(numbered_turns(conversations, **columns), "turns")
-    kept = turns.join(maximal_conversations(turns), "conv_id")
-    piece = F.concat(F.lit(start), F.col("role"), F.lit("\n"), F.col("text"), F.lit(end + "\n"))
-    out = kept.select("conv_id", "n_turns", "position", "block", piece.alias("rendered"))
-    out = _running(out, ["conv_id"], [F.col("position")], {"ends": F.length("rendered").cast("long")}, "block")
-    return out.select("conv_id", "n_turns", "position", (F.col("ends") - F.length("rendered")).alias("start"), "rendered")
+    numbered = numbered_turns(turns_of(conversations, **columns), start, end)
+    sums = block_sums(numbered)
+    blocks = sums.join(maximal_conversations(numbered, sums), "conv_id").select(*_BLOCK, "n_turns", "ends_before")
+    out = numbered.select(*_BLOCK, "position", "ends", "rendered").join(blocks, _BLOCK)
+    return out.select("conv_id", "n_turns", "position", (F.col("ends") + F.col("ends_before") - F.length("rendered")).alias("start"), "rendered")

@@ -49,3 +49,27 @@ def test_render_equals_brute_force(spark, monkeypatch, seed, block):
 
 def test_empty_table(spark):
     assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_long_conversations_and_sums_that_wrap(spark, monkeypatch):
+    """Many blocks, wide turn numbers, copies and prefixes; sums modulo a small number tell chats apart only by all of them."""
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 8)
+    own = [(1, t * 3, "user", f"t{t}") for t in range(300)] + [(2, t, "user", f"t{t}") for t in range(300)] + [(3, t, "user", f"t{t}") for t in range(120)]
+    own += [(4, -5, "user", "t0"), (5, 2**62, "user", "t0"), (6, 0, "user", "x" * 100_000)]
+    df = spark.createDataFrame(own, "conv_id long, turn long, role string, text string").repartition(5)
+    assert sorted(map(tuple, chat.render(df).collect())) == brute_force(own)
+
+
+def test_texts_are_dealt_out_once(spark):
+    """One exchange holds the texts, and all others but narrow ones read it again."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = chat.render(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    texts = [x for x in plan.split("\n") if "Exchange hashpartitioning(" in x and "ReusedExchange" not in x]
+    by_column = [x for x in texts if "REPARTITION_BY_COL" in x]
+    assert len(by_column) == 1, plan
+    assert plan.count("ReusedExchange") >= 2, plan
+    assert "Python" not in plan and "Arrow" not in plan
