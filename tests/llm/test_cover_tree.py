@@ -71,3 +71,40 @@ def test_search_prunes(spark):
     scores = x[:100] @ x.T
     scores[np.arange(100), np.arange(100)] = -np.inf
     assert np.array_equal(np.sort(scores, axis=1)[:, :-11:-1], run.scores)
+
+
+def test_large_components_are_ranked_exactly(spark):
+    """Scores beyond 52 and beyond 64 bits, told apart by their last digits."""
+    rng = random.Random(2)
+    big = [[float(np.float32(rng.choice([1e6, 3e9, -2e17, 1e30]) * rng.random())) for _ in range(4)] for _ in range(60)]
+    rows = list(enumerate(big)) + [(100 + i, [4e9 + 4096 * i, 4e9, 0.0, 1.0]) for i in range(20)] + [(200 + i, [3e38, 1.0, float(i), 0.0]) for i in range(15)] + [(300, [0.5] * 4)]
+    rows += [(400 + i, [1e6 + i / 8, 1e6, -3.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in cover_tree.top_k(df, k=5, every=5).collect())
+    expected = [(q, r, v, min(max(s, -(2**63)), 2**63 - 1)) for n in (3, 4) for q, r, v, s in brute_force([x for x in rows if len(x[1]) == n], 5, 5)]
+    assert got == sorted(expected)
+    assert any(s == 2**63 - 1 for *_, s in got) and any(2**53 < s < 2**63 - 1 for *_, s in got)
+
+
+def test_vectors_meet_those_of_their_length(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [5.0]), (4, [7.0]), (10, [1.0, 1.0, 1.0])]
+    got = sorted(tuple(r) for r in cover_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=2).collect())
+    m = 1024 * 1024
+    assert got == [(0, 1, 1, 5 * m), (2, 1, 4, 35 * m), (4, 1, 2, 35 * m)]
+
+
+def test_pruning_on_the_embeddings():
+    """How many pairs are compared on real rows; unit vectors of 64 components leave little to prune."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.01/embeddings.parquet' ORDER BY vec_id").fetchall()
+    x = np.floor(1024 * np.array([v for _, v in rows], dtype=np.float64))
+    ids = np.array([i for i, _ in rows])
+    own = ids % 100 == 0
+    run = cover_tree.DualSearch(x[own], ids[own], x, ids, 10)
+    run.run()
+    scores = x[own] @ x.T
+    scores[ids[own][:, None] == ids[None, :]] = -np.inf
+    assert np.array_equal(np.sort(scores, axis=1)[:, :-11:-1], run.scores)
+    print("compared", run.compared / scores.size)
+    assert run.compared < 0.9 * scores.size
