@@ -97,7 +97,7 @@ def test_pruning_on_the_embeddings():
     """How many pairs are compared on real rows; unit vectors of 64 components leave little to prune."""
     import duckdb
 
-    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.01/embeddings.parquet' ORDER BY vec_id").fetchall()
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()
     x = np.floor(1024 * np.array([v for _, v in rows], dtype=np.float64))
     ids = np.array([i for i, _ in rows])
     own = ids % 100 == 0
