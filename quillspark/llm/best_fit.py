@@ -9,8 +9,10 @@ numbers. The plan says which ranks of each length go where; ranks, and the
 lookup of each piece in the plan, are computed by the executors.
 
 Defined cases: a null or empty text is a document of its end id alone; only
-documents longer than the capacity are cut; repeated ids are separate documents;
-an empty table gives no rows.
+documents longer than the capacity are cut, very long ones into as many pieces
+as it takes; pieces of one length take the places of the length in any order;
+repeated ids are separate documents, and a null id is kept as null; other
+columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

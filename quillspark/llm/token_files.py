@@ -9,9 +9,10 @@ entry and one frame to get one short document. The dictionary is a file of its
 own, named by its hash, and a reader refuses one whose bytes do not match.
 
 Defined cases: a null text is the empty text, whose document is the end id
-alone; repeated ids are separate documents, in any order among themselves; a
-null id sorts first and is kept as null; an empty table gives no files and no
-rows.
+alone; a very long text is one frame, encoded whole; repeated ids are separate
+documents, in any order among themselves; a null id sorts first and is kept as
+null; other columns, whatever their names, are not looked at; a sample too small
+to train on is the dictionary itself; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ NULL_ID = -(2**63)
 #: those with the smallest hash of their id, of at most so many bytes of text each.
 TRAINING_DOCUMENTS, TRAINING_TEXT_BYTES, DICTIONARY_BYTES = 800, 32_768, 65_536
 LEVEL = 3
+#: Smaller samples are no training set for the library: they are the dictionary themselves.
+LEAST_TRAINING_BYTES, LEAST_TRAINING_ARRAYS = 2 * DICTIONARY_BYTES, 16
 
 
 def _serialized(packed: bytes, width: int) -> bytes:
@@ -45,16 +48,19 @@ def _serialized(packed: bytes, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
-    """Dictionary over serialized id arrays of a bounded sample; empty if too few."""
-    import zstandard
-
+    """Dictionary over serialized id arrays of a bounded sample; empty only if there is no text at all."""
     sample = hash_sample(docs.where(F.octet_length("text").between(1, TRAINING_TEXT_BYTES)), TRAINING_DOCUMENTS).select("text").collect()
     tok, end = cached_tokenizer(tokenizer), struct.pack("<I", end_id)
-    arrays = [_serialized(x + end, width) for x in tok.packed_batch([r.text.encode() for r in sample])]
-    try:
+    return dictionary_of([_serialized(x + end, width) for x in tok.packed_batch([r.text.encode() for r in sample])])
+
+
+def dictionary_of(arrays: list[bytes]) -> bytes:
+    """A trained dictionary; from a sample too small to train on, its own bytes, which the codec takes as raw content."""
+    import zstandard
+
+    if sum(map(len, arrays)) >= LEAST_TRAINING_BYTES and len(arrays) >= LEAST_TRAINING_ARRAYS:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
-    except zstandard.ZstdError:  # too little to learn from: frames then stand alone
-        return b""
+    return b"".join(arrays)[-DICTIONARY_BYTES:]
 
 
 def _write_file(path: str, batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, width: int, dictionary: bytes) -> dict | None:

@@ -133,3 +133,33 @@ def test_rows_do_not_depend_on_partitions(spark, docs):
     packed = [best_fit.pack_documents(docs.repartition(n), VOCABULARY, 64).select("sequence_id", "length") for n in (1, 5)]
     counts = [sorted(p.groupBy("sequence_id").agg(F.sum("length").alias("n")).select("n").collect()) for p in packed]
     assert counts[0] == counts[1]
+
+
+def test_dictionaries_of_small_and_large_samples():
+    """Training errors are not swallowed; every sample gives a dictionary that frames need."""
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 15, 16, 40, 800):
+        arrays = [rng.integers(0, 400, int(rng.integers(1, 3000)), dtype=np.uint16).tobytes() for _ in range(n)]
+        raw = token_files.dictionary_of(arrays)
+        assert raw and len(raw) <= token_files.DICTIONARY_BYTES
+        assert (raw[:4] == b"\x37\xa4\x30\xec") == (sum(map(len, arrays)) >= token_files.LEAST_TRAINING_BYTES and n >= 16)  # the magic number of trained ones
+        codec = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+        back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+        assert [back.decompress(codec.compress(a)) for a in arrays] == arrays
+    assert token_files.dictionary_of([]) == b""
+
+
+def test_repeated_rows_null_ids_and_long_texts(spark):
+    long = "Zebra, crossing 12 " * 60_000
+    rows = [(4, "one two", "x"), (4, "one two", "x"), (None, "three", "y"), (9, long, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(2)
+    got = token_files.read_token_files(spark, token_files.write_token_files(docs, VOCABULARY), with_ids=True).collect()
+    assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(((i, reference(t) + [1]) for i, t, _ in rows), key=str)
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, 4, 4, 9]
+    pieces = best_fit.pack_documents(docs, VOCABULARY, 64, with_ids=True).collect()
+    assert len(pieces) == 3 + -(-(len(reference(long)) + 1) // 64)
+    assert sorted(r.ids for r in pieces if r.doc_id == 4) == [reference("one two") + [0]] * 2
+    assert [r.ids for r in pieces if r.doc_id is None] == [reference("three") + [0]]
+    assert sum((r.ids for r in sorted(pieces, key=lambda r: r.piece) if r.doc_id == 9), []) == reference(long) + [0]
