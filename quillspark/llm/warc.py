@@ -11,13 +11,18 @@ only if they are asked for.
 
 Defined cases: a null html is the empty payload; pages with equal payloads of at
 least ``least`` bytes have one response, that with the largest id, and revisits;
-rows that repeat the largest id are all responses; a null id is kept as null; an
-empty table gives no archives and no rows.
+rows that repeat the largest id are all responses; a null id is kept as null;
+very long payloads are one record; other columns, whatever their names, are not
+looked at; an empty table gives no archives and no rows. A record that breaks
+the format ends the read, unless ``malformed`` is ``keep``: it is then a row of
+record type ``malformed`` whose headers say where and why, and reading goes on at
+the next record of the archive.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import struct
 import uuid
 import zlib
@@ -29,10 +34,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.types import StructType
 
+from .skew import FREQUENT_ROWS
 from .storage import filesystem, new_folder
 
 #: Archives are closed when they have grown to this many bytes.
 ROLL_BYTES = 256 << 20
+#: Lists the archives of a folder that this writer filled; other folders are listed as they are.
+MANIFEST = "manifest.json"
 LEVEL = 6
 CHUNK = 1 << 20
 
@@ -44,11 +52,12 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_of(record: str | None) -> int | None:
-    """The id in a record id, or null."""
-    if not record:
+    """The id in a record id that ``record_id`` made; null for any other."""
+    try:
+        n = uuid.UUID((record or "").strip("<>")).int
+    except ValueError:
         return None
-    n = uuid.UUID(record.strip("<>")).int
-    if n >> 64 & 1:
+    if n >> 64 & 1 or n >> 62 & 3 != 2 or n >> 76 & 15 != 8:
         return None
     page = (n >> 80) << 16 | n & 0xFFFF
     return page - 2**64 if page >= 2**63 else page
@@ -76,29 +85,30 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 0, date
     """One record for every page, response or revisit; returns the folder.
 
     Payloads are compared by their SHA-1. Only digests of repeated payloads are
-    joined back to the pages, so Spark broadcasts them while they are few and
-    splits hot ones otherwise. A task writes under a name of its attempt and
-    moves finished archives into place.
+    joined back to the pages; payloads of a digest with very many pages meet it
+    by broadcast. A task writes archives under names of its attempt, and the
+    manifest, written last, lists those of the attempts that count: another
+    attempt of a task, whatever it left behind, adds no record.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     system, where = filesystem(folder)
     system.create_dir(where)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("digest", F.sha1("payload"))
-    repeated = own.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    ready = own.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+    repeated = own.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ready = with_responses(own, repeated).select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         system, where = filesystem(folder)
-        part, rolled, out, temporary, names = TaskContext.get().partitionId(), 0, None, "", []
+        part, rolled, out, temporary, names, attempt = TaskContext.get().partitionId(), 0, None, "", [], uuid.uuid4().hex
 
         def close() -> None:
             nonlocal out, rolled
             if out is not None:
                 out.close()
-                name = f"part-{part:06d}-{rolled:04d}.warc.gz"
+                name = f"part-{part:06d}-{rolled:04d}-{attempt}.warc.gz"
                 system.move(temporary, f"{where}/{name}")
                 names.append(name)
                 out, rolled = None, rolled + 1
@@ -129,10 +139,31 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 0, date
         close()
         yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
 
-    ready.mapInArrow(write, "name string").count()
+    names = sorted(r.name for r in ready.mapInArrow(write, "name string").collect())  # one for 256 MB of archives
+    with system.open_output_stream(f"{where}/{MANIFEST}", compression=None) as f:
+        f.write(json.dumps({"archives": names}).encode())
     return folder
 
 
+def with_responses(own: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The pages with the ``response`` of their digest, null where no other page has it.
+
+    Digests of over 10,000 pages and a thousandth of all go by a broadcast of
+    under 1,000 rows; others by a shuffle or, while they are few, as Spark decides.
+    """
+    total = own.count()
+    most = max(FREQUENT_ROWS, total // 1000)
+    if total <= most:
+        return own.join(repeated.drop("n"), "digest", "left")
+    frequent = F.broadcast(repeated.where(F.col("n") > most).drop("n").withColumnRenamed("response", "frequent"))
+    seldom = repeated.where(F.col("n") <= most).drop("n")
+    marked = own.join(frequent, "digest", "left")
+    # a page whose digest is frequent gets a key of its own, so that none is dealt out by it
+    key = F.when(F.col("frequent").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    met = marked.withColumn("key", key).join(seldom.withColumnRenamed("digest", "key"), "key", "left").drop("key")
+    return met.withColumn("response", F.coalesce("frequent", "response")).drop("frequent")
+
+
 SCHEMA = (
     "record_type string, record_id string, date string, target_uri string, refers_to string, payload_digest string, "
     "content_length long, payload_bytes long, headers map<string,string>, payload binary"
@@ -217,9 +248,29 @@ def _fields(lines: bytes) -> dict[str, str]:
     return out
 
 
+def _next_start(file: pa.NativeFile, start: int, size: int, packed: bool) -> int:
+    """First byte from ``start`` on at which a record begins, or the end of the archive."""
+    mark = b"\x1f\x8b\x08" if packed else b"WARC/"
+    while start < size:
+        raw = file.read_at(CHUNK, start)
+        at = raw.find(mark)
+        while at >= 0:
+            if not packed:
+                return start + at
+            try:
+                if zlib.decompressobj(31).decompress(file.read_at(4096, start + at), 5) == b"WARC/":
+                    return start + at
+            except zlib.error:
+                pass
+            at = raw.find(mark, at + 1)
+        start += max(1, len(raw) - len(mark) + 1)
+    return size
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.payload = options["path"], str(options.get("payload", "true")).lower() == "true"
+        self.keep = str(options.get("malformed", "fail")).lower() == "keep"
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -237,6 +288,9 @@ class WarcReader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(where, recursive=True)) if system.get_file_info(where).type == fs.FileType.Directory else [system.get_file_info(where)]
         # names that start with a full stop belong to unfinished attempts
         names = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith((".warc", ".warc.gz")) and not f.base_name.startswith("."))
+        if (lists := f"{where.rstrip('/')}/{MANIFEST}") in {f.path for f in found}:
+            with system.open_input_stream(lists, compression=None) as f:
+                names = [f"{where.rstrip('/')}/{n}" for n in json.loads(f.read())["archives"]]
         prefix = self.path[: self.path.rindex(where)] if where in self.path else "file://"
         return [WarcFile(prefix + n) for n in names]
 
@@ -260,40 +314,61 @@ class WarcReader(DataSourceReader):
         return True
 
     def records(self, uri: str) -> Iterator[dict]:
+        """Records of one archive that pass the pushed-down predicates."""
         system, where = filesystem(uri)
         with system.open_input_file(where) as file:
-            start, size = 0, file.size()
+            start, size, packed = 0, file.size(), where.endswith(".gz")
             while start < size:
-                source = (_Inflater if where.endswith(".gz") else _Plain)(file, start)
-                source.upto(mark=b"\r\n\r\n")
-                head, there, _ = source.data.partition(b"\r\n\r\n")
-                if not there:
-                    raise ValueError(f"no record header at byte {start} of {uri}")
-                fields = _fields(head)
-                length, begin = int(fields.get("content-length", 0)), len(head) + 4
-                if isinstance(source, _Plain):
-                    source.length = begin + length
-                row = {c: fields.get(h) for c, h in HEADERS.items()} | {"content_length": length, "headers": fields}
-                if self._passes(row):
-                    http, payload_bytes = 0, length
-                    if fields.get("content-type", "").startswith("application/http"):
-                        at = -1
-                        while at < 0 and len(source.data) < begin + length:
-                            source.upto(min(begin + length, len(source.data) + 4096))
-                            at = source.data.find(b"\r\n\r\n", begin)
-                        at = source.data.find(b"\r\n\r\n", begin) if at < 0 else at
-                        if 0 <= at < begin + length:
-                            http = at + 4 - begin
-                            own = _fields(source.data[begin:at])
-                            payload_bytes = length - http
-                            if row["record_type"] == "revisit" and own.get("content-length", "").isdigit():
-                                payload_bytes = int(own["content-length"])
-                    row["payload_bytes"], row["payload"] = payload_bytes, None
-                    if self.payload and row["record_type"] != "revisit":
-                        source.upto(begin + length)
-                        row["payload"] = source.data[begin + http : begin + length]
+                try:
+                    row, following = self._record(file, start, packed)
+                except (ValueError, zlib.error) as e:
+                    if not self.keep:
+                        raise ValueError(f"{uri}, byte {start}: {e}") from e
+                    row = dict.fromkeys([*HEADERS, "content_length", "payload_bytes", "payload"]) | {"record_type": "malformed", "headers": {"archive": uri, "byte": str(start), "error": str(e)}}
+                    row, following = row if self._passes(row) else None, _next_start(file, start + 1, size, packed)
+                if row is not None:
                     yield row
-                start = source.next()
+                start = following
+
+    def _record(self, file: pa.NativeFile, start: int, packed: bool) -> tuple[dict | None, int]:
+        """The record at ``start``, null if a predicate rejects it by its headers, and where the next one starts."""
+        source = (_Inflater if packed else _Plain)(file, start)
+        source.upto(mark=b"\r\n\r\n")
+        head, there, _ = source.data.partition(b"\r\n\r\n")
+        if not there or not head.startswith(b"WARC/"):
+            raise ValueError("no record header")
+        fields = _fields(head)
+        length, begin = int(fields.get("content-length", 0)), len(head) + 4
+        if length < 0:
+            raise ValueError("a negative Content-Length")
+        if isinstance(source, _Plain):
+            source.length = begin + length
+        row = {c: fields.get(h) for c, h in HEADERS.items()} | {"content_length": length, "headers": fields}
+        if not self._passes(row):
+            return None, source.next()
+        http, payload_bytes = 0, length
+        if fields.get("content-type", "").startswith("application/http"):
+            at = -1
+            while at < 0 and len(source.data) < begin + length:
+                before = len(source.data)
+                source.upto(min(begin + length, before + 4096))
+                at = source.data.find(b"\r\n\r\n", begin)
+                if len(source.data) == before:
+                    raise ValueError("the record is cut off")
+            at = source.data.find(b"\r\n\r\n", begin) if at < 0 else at
+            if 0 <= at < begin + length:
+                http = at + 4 - begin
+                own = _fields(source.data[begin:at])
+                payload_bytes = length - http
+                if row["record_type"] == "revisit" and own.get("content-length", "").isdigit():
+                    payload_bytes = int(own["content-length"])
+        row["payload_bytes"], row["payload"] = payload_bytes, None
+        if self.payload and row["record_type"] != "revisit":
+            source.upto(begin + length)
+            if len(source.data) < begin + length:
+                raise ValueError("the record is cut off")
+            row["payload"] = source.data[begin + http : begin + length]
+        return row, source.next()
 
     def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -329,11 +404,11 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, malformed: str = "fail") -> DataFrame:
     """Records of all archives of a folder, or of one; predicates on headers are pushed down."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("malformed", malformed).load(path)
 
 
 def pages_of(records: DataFrame) -> DataFrame:

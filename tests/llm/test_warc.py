@@ -91,3 +91,51 @@ def test_ids_survive(spark):
 def test_empty_table(spark):
     folder = warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_warc(spark, folder).count() == 0
+
+
+def test_other_attempts_add_no_record(spark, folder):
+    """What a task's other attempt left behind is not in the manifest."""
+    system, where = filesystem(folder)
+    [path, *_] = [p.uri for p in warc.WarcReader({"path": folder}).partitions()]
+    with system.open_input_stream(filesystem(path)[1], compression=None) as f:
+        raw = f.read()
+    with system.open_output_stream(f"{where}/part-000000-0000-0123.warc.gz", compression=None) as f:
+        f.write(raw)
+    assert sorted((tuple(r) for r in warc.pages_of(warc.read_warc(spark, folder)).collect()), key=str) == expected(PAGES)
+    system.delete_file(f"{where}/part-000000-0000-0123.warc.gz")
+
+
+def test_frequent_digests(spark, monkeypatch):
+    """A third of the pages share a payload, which then meets its response by broadcast."""
+    rows = [(i, f"http://{i}", ["same", "two", f"own {i}"][i % 3 if i < 90 else 2]) for i in range(120)] + [(None, "http://n", "same"), (87, "http://again", "same")]
+    monkeypatch.setattr(warc, "FREQUENT_ROWS", 45)
+    got = warc.pages_of(warc.read_warc(spark, warc.write_warc(spark.createDataFrame([*rows, *((200 + i, None, "same") for i in range(20))], "page_id long, url string, html string").repartition(4))))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == expected([*rows, *((200 + i, None, "same") for i in range(20))])
+
+
+def test_rows_that_repeat_the_largest_id_are_responses(spark):
+    rows = [(1, "a", "x"), (5, "b", "x"), (5, "b", "x"), (5, "c", "x")]
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.pages_of(warc.read_warc(spark, warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string")))).collect())
+    assert got == [(1, "revisit", 5)] + [(5, "response", None)] * 3
+
+
+@pytest.mark.parametrize("suffix", ["warc.gz", "warc"])
+def test_malformed_records_are_kept_apart(spark, tmp_path, suffix):
+    def record(i, length=None, kind="resource"):
+        body = f"body {i}".encode()
+        raw = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://x/{i}\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        return gzip.compress(raw) if suffix.endswith("gz") else raw
+
+    broken = record(1, "many")
+    (tmp_path / f"a.{suffix}").write_bytes(record(0) + broken + record(2) + b"rubbish" + record(3) + record(4)[:-12 if suffix == "warc" else -20])
+    df = warc.read_warc(spark, f"file://{tmp_path}", malformed="keep")
+    rows = df.collect()
+    assert [r.target_uri for r in rows if r.record_type == "resource"] == ["http://x/0", "http://x/2", "http://x/3"]
+    assert len([r for r in rows if r.record_type == "malformed"]) == 3 and all("error" in r.headers for r in rows if r.record_type == "malformed")
+    assert df.where("record_type = 'malformed'").count() == 3
+    with pytest.raises(Exception, match="byte"):
+        warc.read_warc(spark, f"file://{tmp_path}").collect()
+
+
+def test_foreign_record_ids():
+    assert [warc.page_of(x) for x in (None, "", "<urn:uuid:nonsense>", "<urn:uuid:6ba7b810-9dad-11d1-80b4-00c04fd430c8>")] == [None] * 4
