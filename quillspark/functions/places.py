@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.operators.cube import folded
+from quillspark.functions.names import text_key
 from quillspark.sources.importers import unambiguous
 
 
 def place_key(text: Column) -> Column:
-    """Letters and digits in lower case without accents, single spaces."""
-    return F.trim(F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", " "))
+    """ASCII letters and digits in lower case without accents, single spaces."""
+    return text_key(text)
 
 
 def countries(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def countries(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
     """
     reference = unambiguous(names.select(place_key(F.col("name")).alias("key"), "code"), "key", "code")
     own = texts.select(text).where(F.col(text).isNotNull()).distinct()
-    whole = own.join(F.broadcast(reference), place_key(F.col(text)) == F.col("key")).select(text, F.col("code").alias("whole"))
-    parts = own.select(text, F.explode(F.array_distinct(F.transform(F.split(text, r"[,;/()|\-]+"), place_key))).alias("key")).join(F.broadcast(reference), "key")
+    whole = own.join(reference, place_key(F.col(text)) == F.col("key")).select(text, F.col("code").alias("whole"))
+    parts = own.select(text, F.explode(F.array_distinct(F.transform(F.split(text, r"[,;/()|\-]+"), place_key))).alias("key")).join(reference, "key")
     agreed = parts.groupBy(text).agg(F.countDistinct("code").alias("n"), F.min("code").alias("code")).where("n = 1").select(text, F.col("code").alias("agreed"))
     return own.join(whole, text, "left").join(agreed, text, "left").select(text, F.coalesce("whole", "agreed").alias("country"))
 

@@ -50,7 +50,7 @@ def krippendorff_alpha(answers: DataFrame, unit: str, value: str) -> DataFrame:
 
 
 def per_class(pairs: DataFrame, reference: str, other: str) -> DataFrame:
-    """(class, precision, recall, f1, n): each class of the reference; undefined shares are null."""
+    """(class, precision, recall, f1, n): each class of either rater; a share of nothing is null, F1 is not."""
     counts = confusion(pairs, reference, other)
     classes = counts.select(F.explode(F.array(reference, other)).alias("class")).distinct()
     stats = classes.join(counts, (F.col("class") == F.col(reference)) | (F.col("class") == F.col(other))).groupBy("class").agg(
@@ -59,7 +59,7 @@ def per_class(pairs: DataFrame, reference: str, other: str) -> DataFrame:
         F.sum(F.when(F.col(reference) == F.col("class"), F.col("n")).otherwise(0)).alias("n"),
     )
     p, r = F.try_divide("tp", F.col("said")), F.try_divide("tp", F.col("n"))
-    return stats.select("class", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).when(p.isNotNull() & r.isNotNull(), 0.0).alias("f1"), "n")
+    return stats.select("class", p.alias("precision"), r.alias("recall"), (2.0 * F.col("tp") / (F.col("said") + F.col("n"))).alias("f1"), "n")
 
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:
@@ -77,11 +77,9 @@ def differ(k1: Column, n1: Column, k2: Column, n2: Column, z: float = 1.95996398
     return F.coalesce(F.when((n1 > 0) & (n2 > 0) & (se > 0), F.abs(k1 / n1 - k2 / n2) > z * se), F.lit(False))
 
 
-def mcnemar_exact(b: int, c: int) -> float | None:
-    """Two-sided exact p of b against c discordant pairs."""
+def mcnemar_exact(b: int, c: int) -> float:
+    """Two-sided exact p of b against c discordant pairs; 1 without any."""
     n = b + c
-    if not n:
-        return None
     return min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
 
 

@@ -8,6 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillspark.functions.rounding import half_even
+
+from .relational import numbered
+
+
 def distinct_members(rows: DataFrame, doc: str, member: str) -> DataFrame:
     """(doc, member, n): members of each document once, with their number."""
     own = rows.select(F.col(doc).alias("doc"), F.col(member).alias("member")).where("doc IS NOT NULL AND member IS NOT NULL").distinct()
@@ -72,9 +77,9 @@ def metrics(edges: DataFrame) -> DataFrame:
         .select(
             "nodes",
             "edges",
-            F.round(F.try_divide(2.0 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"),
-            F.round("mean", 3).alias("mean_degree"),
-            F.round("clustering", 4).alias("clustering"),
+            half_even(F.try_divide(2.0 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"),
+            half_even(F.col("mean"), 3).alias("mean_degree"),
+            half_even(F.col("clustering"), 4).alias("clustering"),
         )
     )
 
@@ -91,28 +96,57 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     other = e.groupBy(F.col("cb").alias("c")).agg(F.sum("weight").alias("half"))
     per = inside.unionByName(other.withColumn("inside", F.lit(0.0))).groupBy("c").agg(F.sum("inside").alias("inside"), F.sum("half").alias("k"))
     total = e.agg(F.sum("weight").alias("m"))
-    return per.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("m") - (F.col("k") / (2 * F.col("m"))) ** 2).alias("modularity"))
+    return per.crossJoin(total).agg(F.sum(F.col("inside") / F.col("m") - (F.col("k") / (2 * F.col("m"))) ** 2).alias("modularity"))
+
+
+#: Nodes with more neighbours than this, and than a thousandth of all edges, meet theirs by a broadcast of under 1,000 rows.
+HUB_EDGES = 10_000
+
+
+def _to_least(edges: DataFrame, larger: bool, total: int) -> DataFrame:
+    """One contraction of edges (a, b): larger, or smaller, neighbours of every node point to the least of its neighbourhood."""
+    ends = both_ways(edges) if larger else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = ends.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    most = max(HUB_EDGES, 2 * total // 1000)
+    if 2 * total <= most:
+        met = ends.join(least.drop("n"), "a")
+    else:
+        hubs = F.broadcast(least.where(F.col("n") > most).drop("n"))
+        met = ends.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= most).drop("n"), "a").unionByName(ends.join(hubs, "a"))
+    if larger:
+        out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
 
 
-def component_labels(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """(node, component): the least node each node can reach, by neighbours' labels and label jumps.
+def component_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component): the least node each node can reach, by contraction of edges into stars.
 
-    Every round is checkpointed to the session's shared folder, so lost
-    executors cost a round at most.
+    A round points larger and then smaller neighbours to the least neighbour, so
+    edges become fewer; rounds grow with the logarithm of the longest path. Each
+    is checkpointed to the session's shared folder, so lost executors cost a
+    round at most.
     """
     from quillspark.session import checkpointed
 
-    own = both_ways(edges.select("a", "b"))
-    labels = checkpointed(own.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    own = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    nodes = own.select("a").unionByName(own.select(F.col("b").alias("a"))).distinct()
+    now = checkpointed(own.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = print_of(now)
     for _ in range(most_rounds):
-        near = own.join(labels, F.col("b") == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        hop = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        jump = hop.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        moved = checkpointed(hop.join(jump, hop["component"] == jump["via"]).select("node", F.least("component", "further").alias("component"), "old"))
-        labels = moved.select("node", "component")
-        if moved.where("component <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+        if not before[0]:
+            break
+        now = checkpointed(_to_least(_to_least(now, True, before[0]), False, before[0]))
+        after = print_of(now)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    # every node but the least of its component has one edge, to the least
+    return nodes.join(now, "a", "left").select(F.col("a").alias("node"), F.coalesce("b", "a").alias("component"))
 
 
 def component_summary(labels: DataFrame) -> DataFrame:
@@ -147,7 +181,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, largest_driver_edges: int
     the same every time.
     """
     spark = edges.sparkSession
-    if (n := edges.count()) > largest_driver_edges:
+    if (n := edges.count()) > largest_driver_edges:  # README states this exit
         raise ValueError(f"{n} edges are too many for the driver; restrict the graph to stronger edges first")
     graph: dict = {}
     for r in edges.select("a", "b", "weight").collect():
@@ -202,5 +236,27 @@ def louvain(edges: DataFrame, resolution: float = 1.0, largest_driver_edges: int
 def numbered_communities(groups: DataFrame, least: int = 8, most: int = 40) -> DataFrame:
     """(node, community): 0.. by falling size, then least node, for groups of ``least`` or more, at most ``most``; else -1."""
     sizes = groups.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    number = sizes.where(F.col("n") >= least).withColumn("number", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).where(F.col("number") < most)
+    number = numbered(sizes.where(F.col("n") >= least), [F.desc("n"), F.col("first")], "number").where(F.col("number") < most)
     return groups.join(number.select("community", "number"), "community", "left").select("node", F.coalesce("number", F.lit(-1)).alias("community"))
+
+
+def community_summary(groups: DataFrame, members: DataFrame, topics: DataFrame, labels: DataFrame, most: int = 3) -> DataFrame:
+    """(community, n, documents, macro, topics, label): what each numbered community works on.
+
+    ``members`` has (doc, node), ``topics`` (doc, topic, macro), ``labels`` (topic,
+    label). Topics are the most frequent of the community's documents, of equal
+    ones the least; the label joins the first two; the macro theme is the most
+    frequent one.
+    """
+    own = groups.where("community >= 0")
+    size = own.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    docs = own.join(members, "node").select("community", "doc").distinct()
+    total = docs.groupBy("community").agg(F.count(F.lit(1)).alias("documents"))
+    placed = docs.join(topics.where("topic >= 0"), "doc")
+    ranked = lambda c: F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col(c).alias("v"))))
+    per = placed.groupBy("community", "topic").agg(F.count(F.lit(1)).alias("k")).join(labels, "topic", "left")
+    tops = per.groupBy("community").agg(F.transform(F.slice(ranked("topic"), 1, most), lambda x: x["v"]).alias("topics"), F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col("topic").alias("t"), F.col("label").alias("l")))).alias("_l"))
+    macro = placed.where("macro IS NOT NULL").groupBy("community", "macro").agg(F.count(F.lit(1)).alias("k")).groupBy("community").agg(F.min(F.struct((-F.col("k")).alias("k"), F.col("macro").alias("m")))["m"].alias("macro"))
+    label = F.array_join(F.transform(F.slice("_l", 1, 2), lambda x: x["l"]), " · ")
+    none = F.array().cast("array<int>")
+    return size.join(total, "community", "left").join(macro, "community", "left").join(tops, "community", "left").select("community", "n", F.coalesce("documents", F.lit(0)).alias("documents"), "macro", F.coalesce(F.col("topics").cast("array<int>"), none).alias("topics"), F.coalesce(F.nullif(label, F.lit("")), F.lit("no topic")).alias("label"))

@@ -4,6 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillspark.functions.rounding import half_even
+
+#: Strata, and candidate pairs of labels, that may come to the driver.
+MOST_STRATA, MOST_PAIRS = 100_000, 1_000_000
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
+    """Rows numbered from ``first`` in a total order, without a task that sees them all.
+
+    Rows are dealt out by range and numbered inside their partition; a count for
+    each partition says where its numbers start.
+    """
+    from quillspark.session import checkpointed
+
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts, start, rows = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect()), first, []
+    for part, n in counts:
+        rows.append((part, start))
+        start += n
+    starts = df.sparkSession.createDataFrame(rows, "_part int, _start long")
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return dealt.withColumn("_n", F.row_number().over(inside)).join(starts, "_part").withColumn(name, (F.col("_start") + F.col("_n") - 1).cast("int")).drop("_part", "_n", "_start")
+
 
 def unnest(df: DataFrame, key: str, arrays: dict[str, str], tag: str = "kind") -> DataFrame:
     """Rows of several arrays of structs, one below the other, with a literal tag for each array."""
@@ -26,11 +49,11 @@ def dense_series(counts: DataFrame, key: str, year: str, n: str, totals: DataFra
     places. Totals are given by the caller, so they may include rows without a key.
     """
     span = totals.agg(F.min(year).alias("lo"), F.max(year).alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias(year))
-    spine = counts.select(key).distinct().crossJoin(F.broadcast(span))  # years are few
+    spine = counts.select(key).distinct().crossJoin(span)  # years are few
     return (
         spine.join(counts.select(key, year, n), [key, year], "left")
-        .join(F.broadcast(totals.select(year, "total")), year, "left")
-        .select(key, year, F.coalesce(n, F.lit(0)).alias(n), F.round(F.coalesce(F.try_divide(F.coalesce(n, F.lit(0)), "total"), F.lit(0.0)), 5).alias("share"))
+        .join(totals.select(year, "total"), year, "left")
+        .select(key, year, F.coalesce(n, F.lit(0)).alias(n), half_even(F.coalesce(F.try_divide(F.coalesce(n, F.lit(0)), "total"), F.lit(0.0)), 5).alias("share"))
     )
 
 
@@ -105,6 +128,8 @@ def largest_remainder(sizes: DataFrame, n: int, stratum: str = "stratum", size:
     # multiplied before it is divided, so that equal quotas are equal numbers
     quota = F.col("size") * F.lit(n) / F.lit(float(total or 1))
     base = s.withColumn("base", F.least("size", F.greatest(F.floor(quota), F.lit(least)))).withColumn("rest", quota - F.floor(quota))
+    if (strata or 0) > MOST_STRATA:
+        raise ValueError(f"{strata} strata are more than the {MOST_STRATA} that are dealt with on the driver")
     rows = [[r.stratum, r.size, r.base, r.rest] for r in base.orderBy("stratum").collect()]
     left = n - sum(r[2] for r in rows)
     for r in sorted(rows, key=lambda r: (-r[3], r[0])):
@@ -124,12 +149,12 @@ def hash_sample(df: DataFrame, strata: DataFrame, stratum: str, key: str, seed:
     """Rows of each stratum with the smallest SHA-256 of (seed, key), as many as ``strata`` allocates."""
     order = F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)))
-    return ranked.join(F.broadcast(strata.select(F.col("stratum").alias(stratum), "allocated")), stratum).where("_rank <= allocated").drop("_rank", "allocated")
+    return ranked.join(strata.select(F.col("stratum").alias(stratum), "allocated"), stratum).where("_rank <= allocated").drop("_rank", "allocated")
 
 
 def stable_numbers(groups: DataFrame, matched: DataFrame, next_id: int) -> DataFrame:
     """(group, id): matched groups keep their id; others get new ones by (-size, group) from ``next_id``; none is reused."""
-    fresh = groups.join(matched, "group", "left_anti").withColumn("id", F.row_number().over(Window.orderBy(F.desc("size"), "group")) + next_id - 1)
+    fresh = numbered(groups.join(matched, "group", "left_anti"), [F.desc("size"), F.col("group")], "id", next_id)
     return matched.select("group", "id").unionByName(fresh.select("group", "id"))
 
 
@@ -163,9 +188,10 @@ def assignment(pairs: DataFrame, left: str, right: str, score: str, least: float
 
     Hungarian method on the driver: labels are tens, not documents.
     """
-    rows = [(r[0], r[1], float(r[2])) for r in pairs.where(F.col(score) >= least).select(left, right, score).collect()]
-    if len(rows) > 1_000_000:
-        raise ValueError(f"{len(rows)} candidate pairs are too many to match on the driver")
+    found = pairs.where(F.col(score) >= least).select(left, right, score).limit(MOST_PAIRS + 1).collect()
+    if len(found) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} candidate pairs are too many to match on the driver")
+    rows = [(r[0], r[1], float(r[2])) for r in found]
     xs, ys = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
     size = max(len(xs), len(ys))
     gain = {(x, y): s for x, y, s in rows}
@@ -243,7 +269,7 @@ def largest_change(rows: DataFrame, period: Column, category: str, group: str) -
     own = rows.select(group, category, period.cast("int").alias("_late"))
     counts = own.groupBy(group, category).agg(F.sum(1 - F.col("_late")).alias("_k0"), F.sum("_late").alias("_k1"))
     totals = own.groupBy(group).agg(F.sum(1 - F.col("_late")).alias("_n0"), F.sum("_late").alias("_n1"))
-    shares = counts.join(F.broadcast(totals), group).select(group, category, F.try_divide("_k0", "_n0").alias("before"), F.try_divide("_k1", "_n1").alias("after"))
+    shares = counts.join(totals, group).select(group, category, F.try_divide("_k0", "_n0").alias("before"), F.try_divide("_k1", "_n1").alias("after"))
     change = F.round(F.abs(F.col("after") - F.col("before")), 9)
     best = shares.where(change.isNotNull()).groupBy(group).agg(F.min(F.struct((-change).alias("c"), F.col(category).alias("k"), "before", "after")).alias("b"))
     return best.select(group, F.col("b.k").alias(category), F.col("b.before").alias("before"), F.col("b.after").alias("after"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions import statistics as S, text as T, trend
 from quillspark.operators import citations, counting, cube, graph, relational as R, resolve, terms, vectors, voting
+from quillspark.session import checkpointed
 from quillspark.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +46,7 @@ def supplier_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def nation_rows(spark: SparkSession, sf: str) -> DataFrame:
     """(doc, member): nations of each order's suppliers, a graph small enough for triangles."""
-    return table(spark, sf, "lineitem").join(F.broadcast(table(spark, sf, "supplier")), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("doc"), F.col("s_nationkey").alias("member"))
+    return table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("doc"), F.col("s_nationkey").alias("member"))
 
 
 # ---- graphs ---------------------------------------------------------------------
@@ -96,15 +97,6 @@ def neighbours_of_node(spark, sf):
 
 
 NATION_EDGES = """
-    m AS (SELECT DISTINCT l_orderkey AS doc, s_nationkey AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
-    n AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM m),
-    cells AS (SELECT x.member AS a, y.member AS b, x.n, count(*) AS c FROM n x JOIN n y ON x.doc = y.doc AND x.member < y.member GROUP BY ALL),
-    pairs AS (SELECT a, b, sum(c / (n - 1)) AS weight, CAST(sum(c) AS BIGINT) AS documents FROM cells GROUP BY a, b),
-    e AS (SELECT a, b, weight, documents FROM pairs WHERE (a * 7 + b * 3) % 4 <> 0)
-"""
-
-
-ALL_NATION_EDGES = """
     m AS (SELECT DISTINCT l_orderkey AS doc, s_nationkey AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
     n AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM m),
     cells AS (SELECT x.member AS a, y.member AS b, x.n, count(*) AS c FROM n x JOIN n y ON x.doc = y.doc AND x.member < y.member GROUP BY ALL),
@@ -117,27 +109,16 @@ def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.weighted_pairs(nation_rows(spark, sf), "doc", "member")
 
 
-def some_nation_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """The pairs that NATION_EDGES keeps."""
-    return nation_edges(spark, sf).where((F.col("a") * 7 + F.col("b") * 3) % 4 != 0)
-
-
 @query(f"""
     WITH {NATION_EDGES}, ends AS (SELECT a AS node FROM e UNION ALL SELECT b FROM e),
     d AS (SELECT node, count(*) AS degree FROM ends GROUP BY node),
     t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b),
     tn AS (SELECT node, count(*) AS triangles FROM (SELECT p AS node FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY node)
-    SELECT count(*) AS nodes, CAST(sum(degree) / 2 AS BIGINT) AS edges, round(2.0 * CAST(sum(degree) / 2 AS BIGINT) / (count(*) * (count(*) - 1)), 6) AS density,
-           round(avg(degree), 3) AS mean_degree, round(avg(CASE WHEN degree > 1 THEN coalesce(triangles, 0) / (degree * (degree - 1) / 2) ELSE 0 END), 4) AS clustering
+    SELECT count(*) AS nodes, CAST(sum(degree) / 2 AS BIGINT) AS edges, round_even(2.0 * CAST(sum(degree) / 2 AS BIGINT) / (count(*) * (count(*) - 1)), 6) AS density,
+           round_even(avg(degree), 3) AS mean_degree, round_even(avg(CASE WHEN degree > 1 THEN coalesce(triangles, 0) / (degree * (degree - 1) / 2) ELSE 0 END), 4) AS clustering
     FROM d LEFT JOIN tn USING (node)
 """)
 def graph_density_clustering(spark, sf):
-    """The edges its SQL keeps; ``graph_density_clustering_all`` takes all."""
-    return graph.metrics(some_nation_edges(spark, sf))
-
-
-@query(ORACLES["graph_density_clustering"].replace(NATION_EDGES, ALL_NATION_EDGES))
-def graph_density_clustering_all(spark, sf):
     return graph.metrics(nation_edges(spark, sf))
 
 
@@ -150,37 +131,17 @@ def graph_density_clustering_all(spark, sf):
     SELECT round(sum(coalesce(inside, 0) / m - (k / (2 * m)) * (k / (2 * m))), 6) AS modularity FROM k LEFT JOIN inside USING (c), whole
 """)
 def modularity_by_region(spark, sf):
-    """The edges its SQL keeps; ``modularity_by_region_all`` takes all."""
-    regions = table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community"))
-    return graph.modularity(some_nation_edges(spark, sf), regions).select(F.round("modularity", 6).alias("modularity"))
-
-
-@query(ORACLES["modularity_by_region"].replace(NATION_EDGES, ALL_NATION_EDGES))
-def modularity_by_region_all(spark, sf):
     regions = table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community"))
     return graph.modularity(nation_edges(spark, sf), regions).select(F.round("modularity", 6).alias("modularity"))
 
 
 STRONG = """
-    spend AS (SELECT o_custkey AS c, year(o_orderdate) AS y, month(o_orderdate) AS mo, o_orderpriority AS p FROM orders),
-    links AS (SELECT DISTINCT x.c AS a, y.c AS b FROM spend x JOIN spend y ON x.y = y.y AND x.mo = y.mo AND x.p = y.p AND x.c < y.c WHERE x.c % 40 = y.c % 40)
-"""
-
-
-def customer_links(spark: SparkSession, sf: str) -> DataFrame:
-    spend = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("mo"), F.col("o_orderpriority").alias("p"), (F.col("o_custkey") % 40).alias("k"))
-    x, y = spend.alias("x"), spend.alias("y")
-    same = (F.col("x.y") == F.col("y.y")) & (F.col("x.mo") == F.col("y.mo")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.c") < F.col("y.c"))
-    return x.join(y, same).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-
-
-ALL_STRONG = """
     spend AS (SELECT o_custkey AS c, year(o_orderdate) AS y, month(o_orderdate) AS mo, o_orderpriority AS p FROM orders),
     links AS (SELECT DISTINCT a, c AS b FROM (SELECT c, min(c) OVER (PARTITION BY y, mo, p) AS a FROM spend) WHERE a < c)
 """
 
 
-def all_customer_links(spark: SparkSession, sf: str) -> DataFrame:
+def customer_links(spark: SparkSession, sf: str) -> DataFrame:
     """Each customer of a (year, month, priority) with its least one: the components of all pairs, without the pairs."""
     spend = table(spark, sf, "orders").select(F.col("o_custkey").alias("b"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("mo"), F.col("o_orderpriority").alias("p"))
     least = spend.groupBy("y", "mo", "p").agg(F.min("b").alias("a"))
@@ -193,15 +154,9 @@ def all_customer_links(spark: SparkSession, sf: str) -> DataFrame:
     SELECT node, min(seen) AS component FROM reach GROUP BY node
 """)
 def connected_components(spark, sf):
-    """Links within a remainder of 40, as its SQL says; ``connected_components_all`` takes all."""
     return graph.component_labels(customer_links(spark, sf))
 
 
-@query(ORACLES["connected_components"].replace(STRONG, ALL_STRONG))
-def connected_components_all(spark, sf):
-    return graph.component_labels(all_customer_links(spark, sf))
-
-
 @query(f"""
     WITH RECURSIVE {STRONG}, both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
     reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON w.a = r.seen),
@@ -209,15 +164,9 @@ def connected_components_all(spark, sf):
     SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS share FROM sizes
 """)
 def component_summary(spark, sf):
-    """Links within a remainder of 40, as its SQL says; ``component_summary_all`` takes all."""
     return graph.component_summary(graph.component_labels(customer_links(spark, sf))).withColumn("share", F.round("share", 6))
 
 
-@query(ORACLES["component_summary"].replace(STRONG, ALL_STRONG))
-def component_summary_all(spark, sf):
-    return graph.component_summary(graph.component_labels(all_customer_links(spark, sf))).withColumn("share", F.round("share", 6))
-
-
 @query()
 def louvain_communities(spark, sf):
     return graph.numbered_communities(graph.louvain(nation_edges(spark, sf)), least=3)
@@ -229,13 +178,6 @@ def louvain_communities(spark, sf):
     SELECT a, b, round(sum(weight), 4) AS weight, CAST(sum(documents) AS BIGINT) AS documents FROM moved GROUP BY a, b
 """)
 def renumbered_edges(spark, sf):
-    """The edges its SQL keeps; ``renumbered_edges_all`` takes all."""
-    names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("old"), F.col("n_regionkey").alias("new"))
-    return graph.renumber(some_nation_edges(spark, sf), names).withColumn("weight", F.round("weight", 4))
-
-
-@query(ORACLES["renumbered_edges"].replace(NATION_EDGES, ALL_NATION_EDGES))
-def renumbered_edges_all(spark, sf):
     names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("old"), F.col("n_regionkey").alias("new"))
     return graph.renumber(nation_edges(spark, sf), names).withColumn("weight", F.round("weight", 4))
 
@@ -261,7 +203,7 @@ LINKS = """
 
 def fractional_weights(spark: SparkSession, sf: str) -> DataFrame:
     places = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    lines = table(spark, sf, "lineitem").join(F.broadcast(places), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = table(spark, sf, "lineitem").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
     named = lambda author: [F.col("l_orderkey").alias("doc"), author.alias("author"), F.col("s_suppkey").alias("institution"), F.col("s_nationkey").alias("state"), F.col("n_regionkey").alias("country")]
     own = lines.where("l_linenumber % 3 <> 0").select(*named(F.col("l_linenumber") - 1))
     orphans = lines.where("l_linenumber = 3 AND l_orderkey % 2 = 0").select(*named(F.lit(None).cast("int")))
@@ -301,7 +243,7 @@ def institution_summary(spark, sf):
 """)
 def collaboration_by_year(spark, sf):
     lines = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    rows = lines.join(F.broadcast(table(spark, sf, "supplier")), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = lines.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     members = rows.select(F.col("o_orderkey").alias("doc"), F.year("o_orderdate").alias("year"), F.col("l_suppkey").alias("author"), F.col("l_suppkey").alias("institution"), F.col("s_nationkey").alias("state"), (F.col("n_regionkey") == 1).alias("home"))
     out = counting.collaboration(members, "year")
     return out.select("year", *(F.round(c, 6).alias(c) for c in ("several_authors", "mean_authors", "several_states", "home_and_abroad")))
@@ -358,7 +300,7 @@ def type_years(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"""
     WITH {TYPE_YEARS}, years AS (SELECT CAST(unnest(range(min(year), max(year) + 1)) AS INTEGER) AS year FROM totals), spine AS (SELECT * FROM (SELECT DISTINCT topic FROM hits), years)
-    SELECT topic, year, coalesce(n, 0) AS n, round(coalesce(coalesce(n, 0) / total, 0), 5) AS share FROM spine LEFT JOIN hits USING (topic, year) LEFT JOIN totals USING (year)
+    SELECT topic, year, coalesce(n, 0) AS n, round_even(coalesce(coalesce(n, 0) / total, 0), 5) AS share FROM spine LEFT JOIN hits USING (topic, year) LEFT JOIN totals USING (year)
 """)
 def dense_series_share(spark, sf):
     hits, totals = type_years(spark, sf)
@@ -368,7 +310,7 @@ def dense_series_share(spark, sf):
 @query()
 def trend_by_type(spark, sf):
     hits, totals = type_years(spark, sf)
-    series = R.dense_series(hits, "topic", "year", "n", totals).join(F.broadcast(totals), "year")
+    series = R.dense_series(hits, "topic", "year", "n", totals).join(totals, "year")
     return trend.trends(series, "topic")
 
 
@@ -376,7 +318,7 @@ CUBE = {"year": "year", "journal": "c_mktsegment", "topic": "o_orderpriority", "
 
 
 def cube_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("year", F.year("o_orderdate"))
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("year", F.year("o_orderdate"))
     tests = {"year": F.col("year").between(1996, 1999), "journal": F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "topic": F.col("o_orderpriority") != "5-LOW", "country": F.col("n_regionkey").isin(0, 2)}
     return cube.failures(rows, tests)
 
@@ -418,7 +360,7 @@ def point_in_polygon(spark, sf):
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey = o_orderkey AND s_nationkey = 3)")
 def semi_place_filter(spark, sf):
-    places = table(spark, sf, "lineitem").join(F.broadcast(table(spark, sf, "supplier")), F.col("l_suppkey") == F.col("s_suppkey")).withColumnRenamed("l_orderkey", "o_orderkey")
+    places = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumnRenamed("l_orderkey", "o_orderkey")
     return cube.at_any_place(table(spark, sf, "orders"), places, "o_orderkey", F.col("s_nationkey") == 3).select("o_orderkey")
 
 
@@ -440,14 +382,8 @@ def text_search(spark, sf):
 # ---- projections, unnesting, ranked picks -------------------------------------------
 
 
-@query("SELECT doc_id, CAST(i AS INTEGER) AS ordinal, words[i] AS value FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents WHERE n_chars < 400))")
-def unnest_ordinality(spark, sf):
-    """Texts of under 400 characters, as its SQL says; ``unnest_ordinality_all`` takes all."""
-    return R.with_ordinality(table(spark, sf, "documents").where("n_chars < 400").select("doc_id", F.split("text", " ").alias("words")), "doc_id", "words")
-
-
 @query("SELECT doc_id, CAST(i AS INTEGER) AS ordinal, words[i] AS value FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents))")
-def unnest_ordinality_all(spark, sf):
+def unnest_ordinality(spark, sf):
     return R.with_ordinality(table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words")), "doc_id", "words")
 
 
@@ -759,7 +695,8 @@ def boilerplate_docs(spark, sf):
     WITH f AS (SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS f FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY f) AS kept FROM f
 """)
 def exact_duplicates(spark, sf):
-    own = table(spark, sf, "documents").select("doc_id", F.sha2(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), 256).alias("f"))
+    # the texts are read and hashed once; what meets are ids and hashes
+    own = checkpointed(table(spark, sf, "documents").select("doc_id", F.sha2(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), 256).alias("f")))
     return own.join(own.groupBy("f").agg(F.min("doc_id").alias("kept")), "f").select("doc_id", "kept")
 
 
@@ -800,23 +737,49 @@ def evidence_literal(spark, sf):
     return literal_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+#: Passages that are looked for at once; their automaton goes to every task.
+MOST_PASSAGES = 1_000_000
+
+
+def passage_list(passages: DataFrame) -> list[tuple]:
+    """(item_id, text) of a bounded list of passages."""
+    rows = passages.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").limit(MOST_PASSAGES + 1).collect()
+    if len(rows) > MOST_PASSAGES:
+        raise ValueError(f"more than {MOST_PASSAGES} passages; look for them in parts")
+    return [tuple(r) for r in rows]
+
+
 def literal_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id, position) of passages, in lower case, in whole texts; passages are a bounded list.
 
-    A passage is met by the hash of its second to sixth word, which stand between
-    spaces in any text that holds it; then it is looked for itself. Texts are not
-    shuffled. Passages of fewer words are looked for in every text.
+    One automaton of all passages reads each text once, in Arrow batches; texts
+    are neither shuffled nor copied. Lower case is Spark's on both sides.
     """
-    cut = r"[ \n]+"
-    b = passages.select("item_id", F.lower("text").alias("passage")).withColumn("words", F.split("passage", cut))
-    long = b.where(F.size("words") >= 7).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("words", 2, 5), " ")).alias("key"))
-    short = b.where(F.size("words") < 7).select("item_id", "passage")
-    d = docs.select("doc_id", F.lower("text").alias("body"))
-    w = d.withColumn("w", F.split("body", cut))
-    keys = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
-    met = w.select("doc_id", "body", F.explode(F.array_distinct(keys)).alias("key")).join(F.broadcast(long), "key").where(F.col("body").contains(F.col("passage")))
-    other = d.join(F.broadcast(short), F.col("body").contains(F.col("passage")))
-    return met.select("doc_id", "item_id", F.expr("locate(passage, body)").alias("position")).unionByName(other.select("doc_id", "item_id", F.expr("locate(passage, body)").alias("position"))).distinct()
+    known: dict[str, list] = {}
+    for item, text in passage_list(passages.select("item_id", F.lower("text").alias("text"))):
+        known.setdefault(text, []).append(item)
+    types = {c: f.schema[c].dataType.simpleString() for f, c in ((docs, "doc_id"), (passages, "item_id"))}
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for text, items in known.items():
+            if text:
+                automaton.add_word(text, (len(text), items))
+        automaton.make_automaton()
+        for batch in batches:
+            rows = []
+            for doc, body in zip(batch["doc_id"], batch["body"], strict=True):
+                first = {i: 1 for i in known.get("", ())} if body is not None else {}
+                for end, (n, items) in automaton.iter(body) if body and len(automaton) else ():
+                    for i in items:
+                        first.setdefault(i, end - n + 2)
+                rows += [(doc, i, at) for i, at in first.items()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "position"])
+
+    return docs.select("doc_id", F.lower("text").alias("body")).mapInPandas(run, f"doc_id {types['doc_id']}, item_id {types['item_id']}, position int")
 
 
 @query()
@@ -830,11 +793,11 @@ def aligned_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     The list goes to every task, so texts are neither shuffled nor copied.
     """
-    known = [(r.item_id, r.text) for r in passages.select("item_id", "text").collect()]
+    known = passage_list(passages)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {passages.schema['item_id'].dataType.simpleString()}, status string, field string, start int, end int"
 
     def run(batches):
-        own = T.Passages(known)
+        own = T.Passages(known)  # once a task
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 rows = [(doc, *x) for x in own.found(text or "")]
@@ -941,14 +904,6 @@ def principal_axes(spark, sf):
 # ---- citations and resolution -------------------------------------------------------------------
 
 REFERENCES = """
-    docs AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 500 END AS work, year(o_orderdate) AS year FROM orders WHERE o_orderkey % 2 = 0),
-    firsts AS (SELECT min(doc) AS doc, work FROM docs WHERE work IS NOT NULL GROUP BY work),
-    named AS (SELECT d.doc, f.work, d.year FROM docs d LEFT JOIN firsts f USING (doc)),
-    refs AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 700 AS cited FROM lineitem WHERE l_orderkey % 2 = 0)
-"""
-
-
-ALL_REFERENCES = """
     docs AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 500 END AS work, year(o_orderdate) AS year FROM orders),
     firsts AS (SELECT min(doc) AS doc, work FROM docs WHERE work IS NOT NULL GROUP BY work),
     named AS (SELECT d.doc, f.work, d.year FROM docs d LEFT JOIN firsts f USING (doc)),
@@ -956,12 +911,12 @@ ALL_REFERENCES = """
 """
 
 
-def reference_tables(spark: SparkSession, sf: str, part: str = "true") -> tuple[DataFrame, DataFrame]:
-    """References and documents of all orders, or of those whose key ``doc`` is in ``part``."""
-    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 500).alias("work"), F.year("o_orderdate").alias("year")).where(part)
+def reference_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """References and documents of all orders."""
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 500).alias("work"), F.year("o_orderdate").alias("year"))
     first = d.where("work IS NOT NULL").groupBy("work").agg(F.min("doc").alias("doc"))
     docs = d.drop("work").join(first, "doc", "left")
-    refs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 700).alias("cited")).where(part)
+    refs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 700).alias("cited"))
     return refs, docs
 
 
@@ -970,12 +925,6 @@ def reference_tables(spark: SparkSession, sf: str, part: str = "true") -> tuple[
     FROM refs r JOIN named d ON d.doc = r.doc LEFT JOIN named c ON c.work = r.cited
 """)
 def citation_split(spark, sf):
-    """Orders of even key, as its SQL says; ``citation_split_all`` takes all."""
-    return citations.split_references(*reference_tables(spark, sf, "doc % 2 = 0"))
-
-
-@query(ORACLES["citation_split"].replace(REFERENCES, ALL_REFERENCES))
-def citation_split_all(spark, sf):
     return citations.split_references(*reference_tables(spark, sf))
 
 
@@ -983,13 +932,6 @@ def citation_split_all(spark, sf):
     WITH {REFERENCES}, n AS (SELECT doc, count(*) AS n FROM refs GROUP BY doc) SELECT doc, CASE WHEN work IS NULL THEN -1 ELSE coalesce(n, 0) END AS n_references FROM named LEFT JOIN n USING (doc)
 """)
 def reference_counts(spark, sf):
-    """Orders of even key, as its SQL says; ``reference_counts_all`` takes all."""
-    refs, docs = reference_tables(spark, sf, "doc % 2 = 0")
-    return citations.coverage(docs, refs)
-
-
-@query(ORACLES["reference_counts"].replace(REFERENCES, ALL_REFERENCES))
-def reference_counts_all(spark, sf):
     refs, docs = reference_tables(spark, sf)
     return citations.coverage(docs, refs)
 
@@ -1000,8 +942,8 @@ def reference_counts_all(spark, sf):
 """)
 def flow_matrix(spark, sf):
     nations = table(spark, sf, "nation")
-    who = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), F.col("n_name").alias("group"))
-    whom = table(spark, sf, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), F.col("n_name").alias("group"))
+    who = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), F.col("n_name").alias("group"))
+    whom = table(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), F.col("n_name").alias("group"))
     links = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("doc"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("cited_doc"))
     return citations.flow(links, who.unionByName(whom))
 
@@ -1043,22 +985,12 @@ def deduplicated_documents(spark, sf):
     return resolve.deduplicate(d, "first")
 
 
-@query("""
-    SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey AND lower(regexp_replace(x.s_name, '[^A-Za-z]+', ' ', 'g')) = lower(regexp_replace(y.s_name, '[^A-Za-z]+', ' ', 'g'))
-    WHERE x.s_nationkey = y.s_nationkey AND x.s_nationkey < 3
-""")
-def name_block_pairs(spark, sf):
-    """Suppliers all carry one name here; its SQL takes the first three nations, ``name_block_classes`` all suppliers."""
-    s = table(spark, sf, "supplier").where("s_nationkey < 3").select("s_suppkey", F.concat_ws(" ", "s_name", F.translate(F.col("s_nationkey").cast("string"), "0123456789", "abcdefghij")).alias("name"))
-    return resolve.name_pairs(s, "s_suppkey", "name")
-
-
 @query("""
     SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY s_nationkey, lower(regexp_replace(s_name, '[^A-Za-z]+', ' ', 'g'))) AS class, list_filter([s_suppkey], lambda x: false) AS compatible FROM supplier
 """)
 def name_block_classes(spark, sf):
     """All suppliers, whose names of a nation are equal, as classes with members instead of pairs."""
-    s = table(spark, sf, "supplier").select("s_suppkey", F.concat_ws(" ", "s_name", F.translate(F.col("s_nationkey").cast("string"), "0123456789", "abcdefghij")).alias("name"))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.concat_ws(" ", F.regexp_replace("s_name", "[^A-Za-z]+", " "), F.concat(F.lit("n"), F.translate(F.col("s_nationkey").cast("string"), "0123456789", "abcdefghij"))).alias("name"))
     return resolve.name_classes(s, "s_suppkey", "name")
 
 

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.functions.text import fragment
+from quillspark.functions.text import fragment, has_email
+from quillspark.sources.http import filesystem
+
+#: Rows of published aggregates, and of a printed table, that may come to the driver.
+MOST_PUBLISHED, MOST_PRINTED = 1_000_000, 1_000
+
+
+def few_rows(df: DataFrame, most: int, what: str) -> list:
+    """All rows of a small table; an error, before more than ``most`` of them leave the executors, for a larger one."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} takes up to {most} rows; aggregate or select first")
+    return rows
 
 
 def total_order(df: DataFrame, keys: list[str]) -> list[Column]:
@@ -30,13 +42,12 @@ def write_fragments(df: DataFrame, path: str, key: str, buckets: int = 64) -> No
 
 def columnar(df: DataFrame, keys: list[str], dictionaries: list[str] = ()) -> dict:
     """Column lists of a published (small) table; dictionary columns hold positions by falling count, -1 for null."""
-    rows = df.orderBy(*total_order(df, keys)).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("columnar JSON is for published aggregates, not for whole corpora")
+    rows = few_rows(df.orderBy(*total_order(df, keys)), MOST_PUBLISHED, "columnar JSON")
     out: dict = {"columns": {c: [r[c] for r in rows] for c in df.columns}, "dictionaries": {}}
     for c in dictionaries:
         values = out["columns"][c]
-        names = sorted({v for v in values if v is not None}, key=lambda v: (-values.count(v), v))
+        times = Counter(v for v in values if v is not None)
+        names = sorted(times, key=lambda v: (-times[v], v))
         place = {v: i for i, v in enumerate(names)}
         out["dictionaries"][c] = names
         out["columns"][c] = [place.get(v, -1) for v in values]
@@ -45,11 +56,11 @@ def columnar(df: DataFrame, keys: list[str], dictionaries: list[str] = ()) -> di
 
 def write_contract(tables: dict[str, dict], folder: str) -> None:
     """One JSON file a table, the manifest last, so a reader that finds it finds everything."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
-    for name, table in tables.items():
-        (root / f"{name}.json").write_text(json.dumps(table, ensure_ascii=False, sort_keys=True), encoding="utf-8")
-    (root / "manifest.json").write_text(json.dumps({"tables": sorted(tables)}), encoding="utf-8")
+    system, where = filesystem(folder)
+    system.create_dir(where)
+    for name, table in [*tables.items(), ("manifest", {"tables": sorted(tables)})]:
+        with system.open_output_stream(f"{where}/{name}.json") as f:
+            f.write(json.dumps(table, ensure_ascii=False, sort_keys=True).encode())
 
 
 def publishable(df: DataFrame, licence: str, columns: list[str]) -> DataFrame:
@@ -58,10 +69,10 @@ def publishable(df: DataFrame, licence: str, columns: list[str]) -> DataFrame:
 
 
 def private_rows(df: DataFrame, columns: list[str]) -> int:
-    """Rows with an address in any of the columns; a release needs 0."""
+    """Rows with an address of any form in any of the columns, by the detector that cleans them; a release needs 0."""
     hit = F.lit(False)
     for c in columns:
-        hit = hit | F.coalesce(F.col(c).rlike(r"[\w.+-]+@[\w-]+(\.[\w-]+)+"), F.lit(False))
+        hit = hit | F.coalesce(has_email(c), F.lit(False))
     return df.where(hit).count()
 
 
@@ -74,15 +85,15 @@ def materialise(df: DataFrame, form: str = "dicts"):
 
 
 def markdown(df: DataFrame, caption: str = "") -> str:
-    """A small table as Markdown."""
-    rows = df.limit(1000).collect()
+    """A small table as Markdown, whole or not at all."""
+    rows = few_rows(df, MOST_PRINTED, "a printed table")
     head = ["| " + " | ".join(df.columns) + " |", "|" + " - |" * len(df.columns)]
     body = ["| " + " | ".join("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
     return "\n".join(([caption, ""] if caption else []) + head + body)
 
 
 def latex(df: DataFrame) -> str:
-    rows = df.limit(1000).collect()
+    rows = few_rows(df, MOST_PRINTED, "a printed table")
     escape = lambda v: "" if v is None else str(v).replace("&", r"\&").replace("_", r"\_").replace("%", r"\%")
     body = [" & ".join(map(escape, r)) + r" \\" for r in [df.columns, *rows]]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", *body, r"\end{tabular}"])
