@@ -84,7 +84,8 @@ class Project:
         docs = documents.select([f.name for f in struct(DOCUMENT)])
         counts = {"read": docs.count()}
         if kinds:
-            docs = docs.where(F.col("kind").isin(*kinds))
+            docs, rejects = relational.whitelisted(docs, "kind", kinds)
+            counts |= {f"rejected_{r.kind}": r.n for r in sorted(rejects.limit(1000).collect(), key=str)}  # kinds are a few dozen
         if period:
             docs = docs.where(F.col("year").between(*years(period)))
         if exclude is not None:

@@ -158,6 +158,12 @@ def stable_numbers(groups: DataFrame, matched: DataFrame, next_id: int) -> DataF
     return matched.select("group", "id").unionByName(fresh.select("group", "id"))
 
 
+def whitelisted(df: DataFrame, column: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of an allowed kind, how many of each other kind there are)."""
+    good = F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+    return df.where(good), df.where(~good).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
 def excluded(docs: DataFrame, entries: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(kept documents, unmatched entries): documents matched by any of several keys go."""
     exploded = docs.select(F.explode(F.array(*(F.col(k).cast("string") for k in keys))).alias("entry")).where("entry IS NOT NULL").distinct()

@@ -6,8 +6,6 @@ supplier, a state its nation, a country its region, a journal a market segment.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -16,19 +14,7 @@ from quillspark.operators import citations, counting, cube, graph, relational as
 from quillspark.session import checkpointed
 from quillspark.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def keep(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
+from .registry import ORACLES, QUERIES, query
 
 # ---- building blocks shared by several queries ---------------------------------
 
@@ -549,12 +535,16 @@ def kappa_interval(spark, sf):
 
 @query(f"WITH {VOTES} SELECT count(*) FILTER (WHERE b = a AND c <> a) AS only_first, count(*) FILTER (WHERE b <> a AND c = a) AS only_second FROM votes")
 def mcnemar_counts(spark, sf):
-    return S.mcnemar(rated(spark, sf), "a", "b", "c").drop("p")
+    return S.mcnemar(rated(spark, sf), "a", "b", "c").withColumn("p", F.round("p", 8)).drop("p")
 
 
-@query()
+@query(f"""
+    WITH {VOTES}, n AS (SELECT count(*) FILTER (WHERE b = a AND c <> a) AS x, count(*) FILTER (WHERE b <> a AND c = a) AS y FROM votes),
+    s AS (SELECT x, y, list_sum(list_transform(range(0, least(x, y) + 1), lambda i: exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2)))) AS half FROM n)
+    SELECT x AS only_first, y AS only_second, round(least(1.0, 2 * half), 8) AS p FROM s
+""")
 def mcnemar_exact(spark, sf):
-    return S.mcnemar(rated(spark, sf), "a", "b", "c")
+    return S.mcnemar(rated(spark, sf), "a", "b", "c").withColumn("p", F.round("p", 8))
 
 
 @query("""
@@ -970,7 +960,12 @@ def title_prefix_join(spark, sf):
     return citations.title_matches(p, p, "p_name", "p_partkey")
 
 
-@query()
+@query("""
+    WITH k AS (SELECT doc_id, doc_id % 2 AS half, lang, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents),
+    f AS (SELECT *, CASE WHEN length(key) >= 20 THEN first_value(doc_id) OVER (PARTITION BY key, lang ORDER BY half, doc_id) ELSE doc_id END AS first FROM k),
+    p AS (SELECT doc_id, half, first, first % 2 AS other FROM f)
+    SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 10, '0') AS id, 'd' || lpad(CAST(CASE WHEN half <> other THEN first ELSE doc_id END AS VARCHAR), 10, '0') AS kept, CASE WHEN half = other AND first <> doc_id THEN 'd' || lpad(CAST(first AS VARCHAR), 10, '0') END AS suspected FROM p
+""")
 def deduplicated_documents(spark, sf):
     """Documents of one language merge across sources when their whole texts have the same title key."""
     d = table(spark, sf, "documents").select(
@@ -1129,3 +1124,6 @@ def labels_by_precedence(spark, sf):
 @query()
 def spanning_tree(spark, sf):
     return vectors.spanning_tree(table(spark, sf, "embeddings"), "label", "embedding")
+
+
+from . import record_queries  # noqa: E402, F401  registers its queries
