@@ -1,8 +1,10 @@
 """Encoding whole texts into pieces and back, by automaton and Viterbi.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
-U+2581 in a text is the model's own sign for a space and decodes to a space;
-repeated rows are separate documents; an empty table gives no rows.
+U+2581 in a text is the model's own sign for a space and decodes to a space; of
+equal sums the longest last piece wins; a very long text is encoded whole, part
+by part; a null id is kept as null; repeated rows are separate documents; other
+columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

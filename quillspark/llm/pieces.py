@@ -17,7 +17,6 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
@@ -50,6 +49,8 @@ class PieceModel:
         self.automaton.make_automaton()
         #: Characters that are pieces by themselves; only others can be unknown.
         self.characters = frozenset(self.pieces[i] for i in self.normal if len(self.pieces[i]) == 1)
+        self.sizes = list(map(len, self.pieces))
+        self.packed_ids = [i.to_bytes(4, "little") for i in range(n)]
         self.longest = max((len(self.pieces[i]) for i in self.normal), default=1)
         self.inner_space = any(SPACE in p.lstrip(SPACE) for p in (self.pieces[i] for i in self.normal))
         self.raw = [self.pieces[i].encode() for i in range(n)]
@@ -68,7 +69,8 @@ class PieceModel:
         unknown character starts last.
         """
         n, known, unknown = len(text), self.characters, self.unknown
-        best, start, piece, closed = [0.0] + [-INFINITY] * n, [0] * (n + 1), [-1] * (n + 1), 0
+        best, start, piece = [0.0] + [-INFINITY] * n, [0] * (n + 1), [-1] * (n + 1)
+        closed = 0
 
         def close(upto: int) -> None:
             for p in range(closed + 1, upto + 1):
@@ -87,6 +89,20 @@ class PieceModel:
 
     def encode_part(self, text: str) -> list[int]:
         """Ids of one part by back pointers of the Viterbi pass."""
+        if self.characters.issuperset(text):
+            # no character is unknown: the back pointer is the last piece alone, and -1 is the place before the first
+            n, sizes, out = len(text), self.sizes, []
+            best, piece = [-INFINITY] * n + [0.0], [0] * n
+            for last, (size, score, i) in self.automaton.iter(text):
+                value = best[last - size] + score
+                if value > best[last]:
+                    best[last], piece[last] = value, i
+            at = n - 1
+            while at >= 0:
+                i = piece[at]
+                out.append(i)
+                at -= sizes[i]
+            return out[::-1]
         _, start, piece = self.viterbi(text)
         out: list[int] = []
         at = len(text)
@@ -103,6 +119,13 @@ class PieceModel:
     def count_part(self, text: str) -> int:
         """Number of ids of one part, carrying best score and count alone, no back pointers."""
         n, known, unknown = len(text), self.characters, self.unknown
+        if known.issuperset(text):
+            best, count = [-INFINITY] * n + [0.0], [0] * (n + 1)  # -1 is the place before the first
+            for last, (size, score, _) in self.automaton.iter(text):
+                value = best[last - size] + score
+                if value > best[last]:
+                    best[last], count[last] = value, count[last - size] + 1
+            return count[n - 1]
         best, count, closed = [0.0] + [-INFINITY] * n, [0] * (n + 1), 0
 
         def close(upto: int) -> None:
@@ -154,7 +177,7 @@ class CachedPieces:
 
     @staticmethod
     def _form(part: bytes) -> str:
-        return SPACE + part.decode().replace(" ", SPACE)
+        return SPACE + (part.decode().replace(" ", SPACE) if b" " in part else part.decode())
 
     def packed(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
@@ -167,7 +190,7 @@ class CachedPieces:
             cache.clear()
         for x in own:
             if x not in cache:
-                cache[x] = np.array(self.model.encode_part(self._form(x)), dtype="<u4").tobytes()
+                cache[x] = b"".join(map(self.model.packed_ids.__getitem__, self.model.encode_part(self._form(x))))
         return b"".join(map(cache.__getitem__, own))
 
     def count(self, text: bytes) -> int:
