@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import best_fit, language_id, quality, simhash
 from quillspark.llm.queries import PIECE_VOCABULARY, WORD_VOCABULARY, table
-from quillspark.llm.storage import drop, new_folder
+from quillspark.llm.storage import drop, new_folder, scope
 from quillspark.llm.words import public_vocabulary
 
 #: Documents whose language is less certain are rejected.
@@ -57,15 +57,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again as the next one's input."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         folder = new_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
+        with scope():  # what the stage's operator writes on its way goes with the stage
+            stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
         if before:
             drop(before)
         before = folder
-    name, stage = STAGES[-1]
-    folder = new_folder(spark, f"stage-{name}")
-    stage(spark, docs, sf_dir).write.parquet(folder)
-    drop(before)
-    return spark.read.parquet(folder)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .skew import join_by_key
-from .storage import stored
+from .storage import drop, stored
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
@@ -40,8 +40,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         if not before[0]:
             break
-        now = stored(_star(_star(now, True, before[0]), False, before[0]), "edges")
+        last, now = now, stored(_star(_star(now, True, before[0]), False, before[0]), "edges")
         after = digest(now)
+        drop(last.stored_at)  # a round needs the one before it, and no other
         if after == before:
             break
         before = after

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +26,32 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
+#: Folders made inside each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A URI below the shared folder that no earlier call returned."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Folders that operators make inside are removed at its end.
+
+    What is wanted of a result has to be written, or collected, before: a
+    DataFrame that leaves the scope may read from a folder that is gone.
+    """
+    _SCOPES.append(made := [])
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        for folder in made:
+            drop(folder)
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -43,7 +68,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
 
 
 def drop(uri: str) -> None:
@@ -51,5 +78,3 @@ def drop(uri: str) -> None:
     system, path = filesystem(uri)
     if system.get_file_info(path).type != fs.FileType.NotFound:
         system.delete_dir(path)
-
-
