@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.functions import statistics, text, trend
+from quillspark.functions import codebook, statistics, text, trend
 from quillspark.operators import citations, counting, graph, relational, resolve, terms, vectors, voting
 from quillspark.plans import catalog
 from quillspark.schemas import CLASSIFICATIONS, DOCUMENT, struct
@@ -105,7 +105,13 @@ class Project:
         edges = self.write("network_edges", graph.weighted_pairs(authors, "doc", "member"), ["a", "b"])
         groups = graph.numbered_communities(graph.louvain(edges))
         self.write("network_communities", groups, ["community", "node"])
-        return {"edges": edges.count(), "people": groups.count()}
+        counts = {"edges": edges.count(), "people": groups.count()}
+        if self.has("weights"):  # the other networks need the places of the links
+            links = self.read("weights")
+            for name, member in (("institutions", "institution"), ("states", "state")):
+                pairs = self.write(f"network_{name}", graph.weighted_pairs(links.where(F.col(member).isNotNull()), "doc", member), ["a", "b"])
+                counts[name] = pairs.count()
+        return counts
 
     def geography(self, links: DataFrame) -> dict[str, int]:
         """Fractional weights of (doc, author, institution, state, country) links."""
@@ -158,6 +164,42 @@ class Project:
         todo.select("doc", "text").mapInPandas(ask, CLASSIFICATIONS).write.mode("append").parquet(folder)
         return {"asked": todo.count() if done is None else texts.count() - done.count()}
 
+    def classify_by_codebook(self, texts: DataFrame, variables: list[codebook.Variable], provider: Callable[[str, list[str]], object], run: str, tries: int = 2) -> dict[str, int]:
+        """Ask a provider about every text (doc, text) that the run's answers do not cover yet.
+
+        ``provider(text, problems)`` gives ``{variable: {value, quote}}``; an answer
+        that the codebook refuses is asked for again with what was wrong, and the
+        best of the tries is kept. Answers are stored under a hash of the text and
+        the codebook, so a changed text or codebook is asked about again, and an
+        interrupted run goes on where it stopped.
+        """
+        import pandas as pd
+
+        folder = f"{self.root}/answers/{run}.parquet"
+        book = repr(variables)
+        keyed = texts.select("doc", "text", F.sha2(F.concat_ws("|", F.lit(book), "text"), 256).alias("key"))
+        todo = voting.pending(keyed, self.spark.read.parquet(folder), ["doc", "key"]) if catalog._exists(self.spark, folder) else keyed
+        columns = ["doc", "key", "variable", "kind", "value", "quote", "status", "field", "start", "end", "tries", "problems"]
+
+        def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for doc, body, key in f[["doc", "text", "key"]].itertuples(index=False):
+                    answers: list[codebook.Answer] = []
+                    while len(answers) < tries and (not answers or answers[-1].problems):
+                        answers.append(codebook.check_answer(provider(body, answers[-1].problems if answers else []), variables))
+                    best = codebook.best_of(answers)
+                    for v in variables:
+                        if v.id in best.values:
+                            place = text.check_evidence(best.quotes[v.id], body, nothing_stated=codebook.states_nothing(v, best.values[v.id]))
+                            out.append((doc, key, v.id, v.kind, codebook.as_text(best.values[v.id]), best.quotes[v.id], *place, len(answers), len(best.problems)))
+                yield pd.DataFrame(out, columns=columns).astype({"start": "Int32", "end": "Int32", "tries": "int32", "problems": "int32"})
+
+        schema = "doc string, key string, variable string, kind string, value string, quote string, status string, field string, start int, end int, tries int, problems int"
+        before = todo.count()
+        todo.select(F.col("doc").cast("string").alias("doc"), "text", "key").mapInPandas(ask, schema).write.mode("append").parquet(folder)
+        return {"asked": before}
+
     def validate(self, answers: DataFrame, a: str, b: str) -> dict:
         """Agreement of two raters' columns of one table."""
         return statistics.agreement(answers, a, b).first().asDict()

@@ -100,6 +100,15 @@ def answer_schema(variables: list[Variable], longest_quote: int = 200) -> dict[s
     return closed({v.id: closed({"quote": {"type": "string", "maxLength": longest_quote}, "value": kinds[v.kind](v)}) for v in variables})
 
 
+def states_nothing(v: Variable, value: Any) -> bool:
+    """``says_nothing`` of a value as it is."""
+    if v.kind == YES_NO:
+        return value is False
+    if v.kind == TEXT:
+        return str(value).strip().lower().rstrip(".").replace("_", " ") in NO_ANSWER_TEXTS
+    return set([value] if v.kind == CHOICE else value) <= set(NO_ANSWER)
+
+
 def says_nothing(value: Column, kind: Column) -> Column:
     """Whether a stored answer says that the text does not tell."""
     chosen = F.from_json(value, "array<string>")

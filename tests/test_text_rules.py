@@ -256,3 +256,28 @@ def test_hub_components(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 60)] + [(100, 59), (200, 201), (201, 202), (300, 300), (500, 400), (500, 401), (500, 402), (500, 403), (500, 404)]
     got = {r.node: r.component for r in graph.component_labels(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in [*range(60), 100]} | {200: 200, 201: 200, 202: 200, 300: 300, 500: 400, 400: 400, 401: 400, 402: 400, 403: 400, 404: 400}
+
+
+def test_classification_asks_again_and_keeps_the_best(spark, tmp_path):
+    from quillspark.api import open_project
+
+    (tmp_path / "calls").mkdir()
+    calls = str(tmp_path / "calls")
+
+    def provider(text, problems):
+        import uuid
+
+        open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+        good = {"m": {"value": "x", "quote": "seen here"}, "k": {"value": ["a"], "quote": "no such words at all"}, "b": {"value": False, "quote": ""}, "t": {"value": "period", "quote": "here"}}
+        return good if problems or "fine" in text else {"m": {"value": "wrong", "quote": ""}}
+
+    asked = lambda: len(list((tmp_path / "calls").iterdir()))
+    project = open_project(spark, f"{tmp_path}/p")
+    texts = spark.createDataFrame([("d1", "It was seen here, all fine."), ("d2", "It was seen here.")], "doc string, text string")
+    assert project.classify_by_codebook(texts, VARIABLES, provider, "r") == {"asked": 2} and asked() == 3
+    rows = spark.read.parquet(f"{tmp_path}/p/answers/r.parquet").collect()
+    assert {(r.doc, r.tries, r.problems) for r in rows} == {("d1", 1, 0), ("d2", 2, 0)}
+    assert {r.variable: r.status for r in rows if r.doc == "d2"} == {"m": "literal", "k": "absent", "b": "waived", "t": "literal"}
+    assert project.classify_by_codebook(texts, VARIABLES, provider, "r") == {"asked": 0} and asked() == 3
+    assert project.classify_by_codebook(texts.withColumn("text", F.concat("text", F.lit(" fine"))), VARIABLES, provider, "r") == {"asked": 2}
+    assert project.classify_by_codebook(texts, VARIABLES[:1], provider, "r") == {"asked": 2}
