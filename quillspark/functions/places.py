@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.names import text_key
@@ -13,8 +14,14 @@ def place_key(text: Column) -> Column:
     return text_key(text)
 
 
+#: Likeness from which a misspelt name is taken for a country's, and the letters it needs.
+LIKE_COUNTRY, LIKE_LETTERS = 0.9, 5
+#: Names of a reference list that go to every task.
+MOST_NAMES = 100_000
+
+
 def countries(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
-    """(text, country): the country whose name, code or variant the text is, or that its parts agree on.
+    """(text, country): the country whose name, code or variant the text is, or that its parts agree on, or whose name it nearly is.
 
     ``names`` has (name, code); names of several countries do not count.
     """
@@ -23,7 +30,28 @@ def countries(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
     whole = own.join(reference, place_key(F.col(text)) == F.col("key")).select(text, F.col("code").alias("whole"))
     parts = own.select(text, F.explode(F.array_distinct(F.transform(F.split(text, r"[,;/()|\-]+"), place_key))).alias("key")).join(reference, "key")
     agreed = parts.groupBy(text).agg(F.countDistinct("code").alias("n"), F.min("code").alias("code")).where("n = 1").select(text, F.col("code").alias("agreed"))
-    return own.join(whole, text, "left").join(agreed, text, "left").select(text, F.coalesce("whole", "agreed").alias("country"))
+    exact = own.join(whole, text, "left").join(agreed, text, "left").select(text, F.coalesce("whole", "agreed").alias("country"))
+    listed = reference.limit(MOST_NAMES + 1).collect()
+    if len(listed) > MOST_NAMES:
+        raise ValueError(f"a list of more than {MOST_NAMES} names is no list of countries")
+    known = sorted((r["key"], r["code"]) for r in listed if len(r["key"]) >= LIKE_LETTERS)
+
+    @F.pandas_udf("string")
+    def nearest(keys: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        def find(key: str) -> str | None:
+            if len(key) < LIKE_LETTERS:
+                return None
+            # the ratio is at most twice the shorter length over both lengths
+            fits = [(SequenceMatcher(None, n, key).ratio(), n, code) for n, code in known if 2 * min(len(n), len(key)) >= LIKE_COUNTRY * (len(n) + len(key))]
+            best = max(fits, key=lambda x: (x[0], x[1]), default=(0.0, "", None))
+            return best[2] if best[0] >= LIKE_COUNTRY else None
+
+        return keys.map({k: find(k) for k in keys.unique()})
+
+    rest = exact.where("country IS NULL").select(text, nearest(place_key(F.col(text))).alias("country"))
+    return exact.where("country IS NOT NULL").unionByName(rest)
 
 
 def split_city_state(text: Column, codes: list[str]) -> Column:

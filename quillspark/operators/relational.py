@@ -288,3 +288,25 @@ def stacked(series: DataFrame, at: str, key: str, n: str, order: list[Column], e
     total = F.sum(n).over(Window.partitionBy(at))
     scale = F.when(total > 0, total) if expand else F.lit(1)
     return series.select(at, key, F.coalesce((high - F.col(n)) / scale, F.lit(0.0)).alias("low"), F.coalesce(high / scale, F.lit(0.0)).alias("high"))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, columns: list[str]) -> DataFrame:
+    """Each row of ``left`` with ``columns`` of the last row of ``right`` with its keys at or before its time; null before the first.
+
+    Both sides are put in one order and the last right row is carried on, so a
+    row of either side moves once. Of right rows of one time the greatest counts.
+    """
+    own = [c for c in left.columns if c not in (*keys, at)]
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    a = left.select(*keys, at, F.struct(*own).alias("_left") if own else F.struct(F.lit(True).alias("_")).alias("_left"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_right"))
+    b = right.select(*keys, at, F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(*columns).alias("_right"))
+    w = Window.partitionBy(*keys).orderBy(F.col(at), F.col("_left").isNotNull(), F.col("_right")).rowsBetween(Window.unboundedPreceding, 0)
+    met = b.unionByName(a).withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_left IS NOT NULL")
+    return met.select(*keys, at, *(F.col(f"_left.{c}").alias(c) for c in own), *(F.col(f"_last.{c}").alias(c) for c in columns))
+
+
+def within(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
+    """Points and the ranges that hold them, ends included: both meet in bins of ``width``, as wide as most ranges."""
+    bin_of = lambda c: F.floor(F.col(c) / F.lit(float(width)))
+    b = ranges.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    return points.withColumn("_bin", bin_of(point)).join(b, "_bin").where(F.col(point).between(F.col(low), F.col(high))).drop("_bin")

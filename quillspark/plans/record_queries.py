@@ -14,7 +14,7 @@ from quillspark.plans import catalog
 from quillspark.plans.registry import query
 from quillspark.schemas import CLASSIFICATIONS, struct
 from quillspark.session import shared_folder
-from quillspark.sources import importers, sinks
+from quillspark.sources import importers, records, sinks
 from quillspark.streaming import jobs
 from quillspark.tables import table
 
@@ -562,3 +562,127 @@ def job_states(spark, sf):
 @query(f"WITH {JOBS} SELECT seq, kind FROM e WHERE job = 'click' AND seq > 500")
 def job_events_since(spark, sf):
     return jobs.since(_job_events(spark, sf), "click", 500).select("seq", "kind")
+
+
+# ---- records -----------------------------------------------------------------------------------
+
+
+def _raw_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as JSON records of a collection."""
+    key = F.col("c_custkey").cast("string")
+    code = F.concat(F.lit("S0104-62762020"), F.lpad(key, 9, "0"))
+    title = lambda lang: F.struct(F.lit(lang).alias("language"), F.concat(F.lit("<b>Of</b>  "), "c_name").alias("text"))
+    person = lambda n: F.struct(F.lit(n).alias("given"), F.col("c_mktsegment").alias("surname"))
+    reference = F.struct(F.concat(F.lit("R"), key).alias("title"), F.lit("1999").alias("year"), F.array(*(person(n) for n in "abcde")).alias("authors"))
+    record = F.struct(code.alias("code"), F.concat(F.lit("https://doi.org/10.1590/C"), key, F.lit(".")).alias("doi"), F.lit("no year").alias("year"), F.lit("en").alias("language"), F.lit("dropped").alias("secret"), F.array(title("en"), title("en"), title("pt")).alias("titles"), F.array(reference, reference).alias("references"))
+    return table(spark, sf, "customer").select(F.to_json(record).alias("j"))
+
+
+@query("""
+    SELECT 'S0104-62762020' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, '10.1590/c' || CAST(c_custkey AS VARCHAR) AS doi, CAST(2020 AS INTEGER) AS year, CAST(2 AS INTEGER) AS n_titles, 'Of ' || c_name AS title FROM customer
+""")
+def record_documents(spark, sf):
+    d = records.documents(_raw_records(spark, sf), "j", "first")
+    return d.select("id", "doi", "year", F.size("titles").alias("n_titles"), F.col("titles")[0]["text"].alias("title"))
+
+
+@query("""
+    SELECT 'S0104-62762020' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS doc, CAST(p AS INTEGER) AS position, 'R' || CAST(c_custkey AS VARCHAR) AS title, CAST(1999 AS INTEGER) AS year, CAST(3 AS INTEGER) AS n_authors FROM customer, (SELECT unnest([1, 2]) AS p)
+""")
+def record_references(spark, sf):
+    return records.references(_raw_records(spark, sf), "j").select("doc", "position", "title", "year", F.size("surnames").alias("n_authors"))
+
+
+@query("SELECT 'W' || CAST(s_suppkey AS VARCHAR) AS id, 'a ' || s_name || ' a' AS abstract, 'journal' AS journal, 'cc-by' AS licence FROM supplier")
+def record_works(spark, sf):
+    index = F.create_map(F.lit("a"), F.array(F.lit(0), F.lit(2)), F.col("s_name"), F.array(F.lit(1)))
+    place = lambda source, issn, licence: F.struct(F.lit(source).alias("source"), issn.alias("issn"), F.lit(licence).alias("licence"))
+    none = F.array().cast("array<string>")
+    work = F.struct(F.concat(F.lit("W"), F.col("s_suppkey").cast("string")).alias("id"), index.alias("abstract_index"), F.array(place("repository", none, "cc0"), place("journal", F.array(F.lit("1234-5678")), "CC-BY 4.0")).alias("locations"))
+    raw = table(spark, sf, "supplier").select(F.to_json(work).alias("j"))
+    return records.works(raw, "j").select("id", "abstract", "journal", "licence")
+
+
+@query("""
+    SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'own' WHEN o_orderkey % 3 = 0 THEN 'found' END AS doi, CASE WHEN o_orderkey % 3 = 0 THEN 'cc-by-nc' ELSE 'cc-by' END AS licence FROM orders
+""")
+def enriched_documents(spark, sf):
+    """Only nulls are filled from the matched work, and the licence is the more restrictive one."""
+    key = F.col("o_orderkey")
+    docs = table(spark, sf, "orders").select(key.cast("string").alias("id"), F.when(key % 2 == 0, "own").alias("doi"), F.lit(None).cast("string").alias("work"), F.lit("cc-by").alias("licence"), key)
+    matches = docs.where(key % 3 == 0).select(F.col("id").alias("doc"), F.concat(F.lit("W"), "id").alias("work"), F.lit(1).alias("step"))
+    found = docs.select(F.concat(F.lit("W"), "id").alias("id"), F.lit("found").alias("doi"), F.lit(1).alias("citations"), F.lit("cc-by-nc").alias("licence"), F.lit(None).cast("string").alias("url"))
+    return records.enrich(docs.drop("o_orderkey"), matches, found).select("id", "doi", "licence")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, CAST(row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS INTEGER) AS place FROM customer")
+def ordered_table(spark, sf):
+    """A table written in total order, by the place its rows have in the file."""
+    path = shared_folder(spark, "ordered")
+    sinks.write_table(table(spark, sf, "customer").select("c_mktsegment", "c_custkey"), path, ["c_mktsegment"], files=1)
+    own = spark.read.parquet(path).select("c_custkey", F.monotonically_increasing_id().alias("at"))
+    return R.numbered(own, [F.col("at")], "place", 1).select(F.col("c_custkey").cast("string").alias("key"), "place")
+
+
+@query("""
+    WITH k AS (SELECT p_brand, lower(regexp_replace(p_type, '[^A-Za-z0-9]+', ' ', 'g')) AS key, p_type, p_partkey FROM part)
+    SELECT key, count(*) AS links, count(DISTINCT p_brand) AS documents, count(DISTINCT p_type) AS spellings, min(p_type) AS text FROM k GROUP BY key
+""")
+def open_affiliations(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_type").alias("text"), F.col("p_brand").alias("doc"), F.lit("BR").alias("country"))
+    return resolve.review_groups(rows, "text", "doc", "country").select("key", "links", "documents", "spellings", "text")
+
+
+@query("SELECT doc_id, 'ra' AS rater_a, 'rb' AS rater_b, quality = toxic AS same, true AS circular FROM labels")
+def circular_pairs(spark, sf):
+    """Two raters of one family, whose agreement says little."""
+    rows = table(spark, sf, "labels").select("doc_id", F.expr("stack(2, 'ra', quality, 'rb', toxic) AS (rater, value)"))
+    pairs = S.circular(S.rater_pairs(rows, ["doc_id"], "rater", "value"), {"ra": "f", "rb": "f"})
+    return pairs.select("doc_id", "rater_a", "rater_b", (F.col("a") == F.col("b")).alias("same"), "circular")
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id % 3 <> 0")
+def complete_sheets(spark, sf):
+    rows = table(spark, sf, "labels").select("doc_id", F.expr("stack(2, 'quality', quality, 'toxic', toxic) AS (variable, value)")).where("NOT (variable = 'toxic' AND doc_id % 3 = 0)")
+    return S.complete_sheets(rows, ["quality", "toxic"], ["doc_id"], "variable")
+
+
+# ---- joins in time and ranges, SQL that users may run ------------------------------------------------
+
+
+@query("""
+    WITH v AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY ALL)
+    SELECT c.event_id, v.event_id AS before FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts >= v.ts
+""")
+def last_view_before_click(spark, sf):
+    e = table(spark, sf, "events")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("before"))
+    return R.as_of(e.where("event_type = 'click'").select("user_id", "ts", "event_id"), views, ["user_id"], "ts", ["before"]).select("event_id", "before")
+
+
+@query("SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_totalprice BETWEEN s_acctbal * 10 AND s_acctbal * 10 + 5000")
+def orders_in_ranges(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") * 10).alias("low"), (F.col("s_acctbal") * 10 + 5000).alias("high"))
+    return R.within(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", s, "low", "high", 5000.0).select("o_orderkey", "s_suppkey")
+
+
+@query("SELECT c_mktsegment AS segment, min(c_nationkey) AS first, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 0 ORDER BY 3 DESC, 1")
+def grouped_by_ordinals(spark, sf):
+    table(spark, sf, "customer").createOrReplaceTempView("customer_of_query")
+    return spark.sql("SELECT c_mktsegment AS segment, any_value(first) AS first, sum(n) AS n FROM (SELECT c_mktsegment, min(c_nationkey) OVER (PARTITION BY c_mktsegment) AS first, 1 AS n FROM customer_of_query) GROUP BY 1 HAVING sum(n) > 0 ORDER BY 3 DESC, 1")
+
+
+@query("SELECT coalesce(s_nationkey, c_nationkey) AS nation, coalesce(ns, 0) AS suppliers, coalesce(nc, 0) AS customers FROM (SELECT s_nationkey, count(*) AS ns FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1) FULL JOIN (SELECT c_nationkey, count(*) AS nc FROM customer WHERE c_nationkey % 3 = 0 GROUP BY 1) ON s_nationkey = c_nationkey")
+def full_outer(spark, sf):
+    s = table(spark, sf, "supplier").where("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
+    c = table(spark, sf, "customer").where("c_nationkey % 3 = 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
+    return s.join(c, "nation", "full_outer").fillna(0)
+
+
+@query("SELECT n_regionkey, list(n_name ORDER BY n_nationkey DESC) AS names, count(*) AS n FROM nation GROUP BY n_regionkey")
+def map_by_value(spark, sf):
+    """A map from name to number, its names by falling number."""
+    one = F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey")))
+    m = table(spark, sf, "nation").groupBy("n_regionkey").agg(one.alias("m"))
+    by_value = F.reverse(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.struct(e["value"], e["key"]))))
+    return m.select("n_regionkey", F.transform(by_value, lambda e: e["key"]).alias("names"), F.size("m").cast("long").alias("n"))

@@ -59,3 +59,12 @@ def sessions(events: DataFrame, at: str, key: str, gap: str = "30 minutes", late
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).json(folder)
+
+
+def with_heartbeats(events: DataFrame, seconds: int = 15) -> DataFrame:
+    """The log with a ``heartbeat`` for every so many silent seconds between two events of a job, under the sequence number of the first."""
+    w = Window.partitionBy("job").orderBy("seq")
+    gap = F.unix_timestamp(F.lead("at").over(w)) - F.unix_timestamp("at")
+    beats = events.withColumn("_n", F.floor((gap - 1) / seconds)).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    empty = {c: F.lit(None).cast(events.schema[c].dataType) for c in events.columns if c not in ("job", "seq", "kind", "at")}
+    return events.unionByName(beats.withColumns(empty | {"kind": F.lit("heartbeat"), "at": F.timestamp_seconds(F.unix_timestamp("at") + F.col("_k") * seconds)}).select(*events.columns))
