@@ -49,6 +49,8 @@ TRAINING_DOCUMENTS = 3_000
 #: Longer texts are scored like all others but do not take part in the fit.
 TRAINING_TEXT_BYTES = 65_536
 ROUNDS = 3
+#: Languages of a model, which is sent to every task: 134 MB of probabilities.
+MOST_LANGUAGES = 512
 #: Smallest probability of a piece, and of an unknown character in every language.
 FLOOR, UNKNOWN = 1e-7, 1e-7
 #: Positions between two rescalings: 1e-7 ** (16 + 8) is far from the smallest double.
@@ -178,6 +180,8 @@ class LanguageModel:
         for language, text in samples:
             counts.setdefault(language, Counter()).update(text.split())
         languages = sorted(counts)
+        if len(languages) > MOST_LANGUAGES:
+            raise ValueError(f"{len(languages)} languages are more than the {MOST_LANGUAGES} of a model that every task takes")
         size = len(model.pieces)
         out = np.full((size + 1, len(languages)), FLOOR)
         for k, language in enumerate(languages):

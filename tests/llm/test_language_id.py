@@ -142,3 +142,13 @@ def test_training_ignores_held_out_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language_id.identify(docs, language_id.train(docs, VOCABULARY), VOCABULARY).count() == 0
+
+
+def test_repeated_rows_and_too_many_languages(spark, model, monkeypatch):
+    docs = spark.createDataFrame(rows()[:40] + rows()[:40], "doc_id long, text string, lang string").repartition(3)
+    fitted = language_id.train(docs, VOCABULARY)
+    got = language_id.identify(docs, fitted, VOCABULARY).collect()
+    assert len(got) == 80 and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 40
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="2 languages"):
+        language_id.LanguageModel.fit(model, [("aa", b"x"), ("bb", b"y")])

@@ -54,3 +54,21 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHING = ["gone_id", "again_id", "id_that_goes", "component_id", "fp", "node", "n", "a", "b", "lang_pred", "score", "held_out", "kept", "quality", "label", "n_words", "piece", "start", "length", "part", "local", "rank", "sequence_id", "offset", "ids"]
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    """Each stage keeps the rows it keeps without them, and all but the last give them back as they were."""
+    rows, labels = corpus()
+    plain = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    wide = plain.selectExpr("*", *(f"concat('{c}', doc_id) AS {c}" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES:
+        a, b = (stage(spark, df, str(tmp_path)) for df in (plain, wide))
+        key = ["doc_id", "piece", "start", "length", "ids_crc32"] if name == "best_fit_packing" else plain.columns
+        assert sorted(map(str, a.select(key).collect())) == sorted(map(str, b.select(key).collect())), name
+        if name != "best_fit_packing":
+            assert b.columns == wide.columns
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in b.collect() for c in CLASHING)
