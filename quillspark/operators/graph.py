@@ -20,7 +20,12 @@ def distinct_members(rows: DataFrame, doc: str, member: str) -> DataFrame:
 
 
 def weighted_pairs(rows: DataFrame, doc: str, member: str) -> DataFrame:
-    """(a, b, weight, documents) of every pair of members that share a document."""
+    """(a, b, weight, documents) of every pair of members that share a document.
+
+    A document of n members is one array of a task and gives n (n - 1) / 2 rows
+    there: fine for authors and institutions, some tens of seconds at 10,000
+    members; documents of more are better left out or split before.
+    """
     m = distinct_members(rows, doc, member).where("n > 1")
     # members of a document become one sorted array: pairs need no second shuffle or join
     arrays = m.groupBy("doc").agg(F.sort_array(F.collect_list("member")).alias("members"))
