@@ -34,3 +34,64 @@ def test_embeddings_are_made_once(spark, tmp_path):
     assert {r.id: r.vector[0] for r in T.embed(changed, cache, make, "m").collect()} == {"a": 3.0, "b": 9.0} and made() == 3
     T.embed(changed, cache, make, "other")
     assert made() == 5
+
+
+def brute_leaves(weights, n, least):
+    """Cut all links from the longest on; a set that falls into two large ones at a link has two clusters inside."""
+
+    def parts(points, bound):
+        left, out = set(points), []
+        while left:
+            group, stack = set(), [left.pop()]
+            while stack:
+                x = stack.pop()
+                group.add(x)
+                near = {y for y in left if weights.get((min(x, y), max(x, y)), float("inf")) < bound}
+                left -= near
+                stack += near
+            out.append(frozenset(group))
+        return out
+
+    def inside(points):
+        """The clusters that hold no other, in a set that is one; empty if it never falls into two."""
+        own = points
+        for bound in sorted({w for (x, y), w in weights.items() if x in points and y in points}, reverse=True):
+            large = [g for g in parts(own, bound) if len(g) >= least]
+            if len(large) > 1:
+                return [c for g in large for c in (inside(g) or [g])]
+            if not large:
+                return []
+            own = large[0]
+        return []
+
+    whole = parts(range(n), float("inf"))
+    large = [g for g in whole if len(g) >= least]
+    return [c for g in large for c in (inside(g) or ([g] if len(large) > 1 else []))] if len(whole) > 1 else inside(whole[0])
+
+
+def test_density_hierarchy(spark):
+    import math
+    import random
+
+    from quillspark.operators import vectors
+
+    rng = random.Random(4)
+    centres = [(1.0, 0.0, 0.0), (0.95, 0.3, 0.0), (0.0, 1.0, 0.1), (0.0, 0.1, 1.0)]
+    own = [(i, [x + rng.gauss(0, 0.04) for x in rng.choice(centres)]) for i in range(90)] + [(200 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(8)]
+    df = spark.createDataFrame(own, "id int, v array<double>")
+    near = vectors.nearest(df, df, "id", "v", len(own) - 1)
+    got = {r.id: r.label for r in vectors.density_hierarchy(near, df, "id", 8, 5).collect()}
+    ids = [i for i, _ in own]
+    place = {x: i for i, x in enumerate(sorted(ids))}
+    d, core = {}, {}
+    for r in near.collect():
+        d[place[r.query], place[r.neighbour]] = math.sqrt(max(0.0, 2 - 2 * r.similarity))
+    for i in range(len(ids)):
+        core[i] = sorted(v for (x, _), v in d.items() if x == i)[3]
+    weights = {(a, b): max(v, core[a], core[b]) for (a, b), v in d.items() if a < b}
+    expected = sorted(brute_leaves(weights, len(ids), 8), key=lambda g: (-len(g), min(g)))
+    assert [{place[i] for i, k in got.items() if k == n} for n in range(len(expected))] == [set(g) for g in expected]
+    assert len(expected) >= 3 and {k for k in got.values()} == {-1, *range(len(expected))}
+    assert [vectors.automatic_size(n) for n in (100, 4265)] == [10, 21]
+    few = vectors.density_hierarchy(near, df, "id", 90, 5).collect()
+    assert {r.label for r in few} == {-1}
