@@ -26,9 +26,9 @@ def weighted_pairs(rows: DataFrame, doc: str, member: str) -> DataFrame:
     there: fine for authors and institutions, some tens of seconds at 10,000
     members; documents of more are better left out or split before.
     """
-    m = distinct_members(rows, doc, member).where("n > 1")
-    # members of a document become one sorted array: pairs need no second shuffle or join
-    arrays = m.groupBy("doc").agg(F.sort_array(F.collect_list("member")).alias("members"))
+    own = rows.select(F.col(doc).alias("doc"), F.col(member).alias("member")).where("doc IS NOT NULL AND member IS NOT NULL")
+    # members of a document become one sorted array of different ones: one shuffle, and pairs need no join
+    arrays = own.groupBy("doc").agg(F.sort_array(F.collect_set("member")).alias("members")).where(F.size("members") > 1)
     pairs = (
         arrays.select("members", F.size("members").alias("n"), F.posexplode("members").alias("at", "a"))
         .select("n", "a", F.explode(F.slice("members", F.col("at") + 2, F.col("n"))).alias("b"))
