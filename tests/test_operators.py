@@ -1,6 +1,8 @@
 """Small cases with results derived by hand."""
 
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,22 @@ def test_kappa_cases(spark):
     assert S.mcnemar_exact(0, 0) == 1.0 and abs(S.mcnemar_exact(1, 9) - 0.021484375) < 1e-12
 
 
+def test_mcnemar_of_many_pairs():
+    """Equal to whole numbers, in seconds: 20,000 pairs took over a minute, a million no bearable time."""
+    for b, c in [(0, 1), (3, 3), (4, 3), (0, 40), (7, 22), (500, 430), (1000, 1000), (10_000, 9_800), (9_999, 10_000), (12_000, 8_000)]:
+        term = half = 1
+        for i in range(min(b, c)):
+            term = term * (b + c - i) // (i + 1)
+            half += term
+        start = time.process_time()
+        got = S.mcnemar_exact(b, c)
+        assert time.process_time() - start < 5
+        assert got == S.mcnemar_exact(c, b) and math.isclose(got, min(1.0, 2 * half / 2 ** (b + c)), rel_tol=1e-12)
+    z = 1_999 / math.sqrt(2_000_000)  # with the correction for continuity, close at such counts
+    assert math.isclose(S.mcnemar_exact(1_001_000, 999_000), math.erfc(z / math.sqrt(2)), rel_tol=1e-5)
+    assert S.mcnemar_exact(5_000_000, 0) == 0.0
+
+
 def test_alpha_ignores_single_answers(spark):
     own = [(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "b"), (4, "b")]
     with_single = S.krippendorff_alpha(spark.createDataFrame(own, "u int, v string"), "u", "v").first().alpha
