@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from quillspark.llm import best_fit, token_files
 from quillspark.llm.words import CachedTokenizer, public_vocabulary
@@ -41,6 +41,65 @@ def test_cached_ids_are_the_library_s():
     assert tok.packed_batch(texts[:3]) == expected[:3]
 
 
+LETTERS_AND_SIGNS = [
+    "ending ending.### ending, ending!! ending's ending' ending'' 'ending ending|. ending<| ending.|x ending_ #ending.",
+    "ÉCOLE École, éÉ. Ünï§ ñandú»! ſtraße; ŉa ĀĐŊŒ.. ŸÿŽž× ×. ÷, a÷b. aªº, µm. straße's",
+    "İ İ. aİ, İa.. ıI. Σ ΑΣ. ΑΣ, ǅ. ŀl, ĸ! Kelvin, Å. ﬁ, ﬁn. ʼn, ª! 한국, 가. e̊. q̌! Ă̱.",
+    "x\x1cy. a\x85b, a\xa0b.  c, d　e. ﻿z, \x00a. \x7fb, a\x0bb\x0cc.",
+    "don't, we'll. 'tis, I'm; '' ''' '. .' ',' <|endoftext|> <|endoftext|>. a<|endoftext|>b, <| |> |",
+    "x1, 1x. 12ab!! ab12.## ½, x². ① ab①. -a- a-b. a.b.c. e.g., (a) [b], {c}. ~`^$+=<> a>b, a\\.",
+    "  leading and trailing.  ",
+    " \n ",
+]
+
+
+def test_letters_and_signs_are_the_library_s():
+    """Letters, signs after them, capitals beyond ASCII and marks give the library's ids, learned in any order."""
+    expected = {t: np.array(reference(t), "<u4").tobytes() for t in LETTERS_AND_SIGNS}
+    for texts in (LETTERS_AND_SIGNS, LETTERS_AND_SIGNS[::-1], LETTERS_AND_SIGNS[3:]):
+        tok = CachedTokenizer(VOCABULARY)
+        for _ in range(2):
+            assert tok.packed_batch([t.encode() for t in texts]) == [expected[t] for t in texts]
+    rng = np.random.default_rng(3)
+    alphabet = [*"abcABCéÉßİıſŒ×÷.,!#'\"|<>-_12 \n", "́", "̌", "Σ", "한", "'s", "ing", "  "]
+    texts = ["".join(rng.choice(alphabet, 40)) for _ in range(3000)]
+    library = Tokenizer.from_file(VOCABULARY)
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert CachedTokenizer(VOCABULARY).packed_batch([t.encode() for t in texts]) == expected
+
+
+def test_letters_before_signs_are_learned_once(monkeypatch):
+    """The library's whole way sees neither a run of letters nor one run with each of its signs."""
+    tok, seen = CachedTokenizer(VOCABULARY), []
+    encode = tok._encode
+    monkeypatch.setattr(tok, "_encode", lambda text: seen.append(text) or encode(text))
+    text = " ".join(f"{w}{s}" for w in ("zorblat", "quéndel", "mirfax") for s in ("", ".", ",", "!!", ".###", "$$$"))
+    assert tok.packed(text.encode()) == np.array(reference(text), "<u4").tobytes()
+    assert not any(w in b" ".join(seen) for w in (b"zorblat", "quéndel".encode(), b"mirfax"))
+    assert {b"zorblat", b"mirfax.###"} <= tok.cache.keys()
+
+
+def test_a_full_cache_keeps_the_words_at_hand():
+    tok = CachedTokenizer(VOCABULARY, limit=3)
+    tok.packed_batch([b"common words, here"])
+    before, learned, learn = tok.cache[b"common"], [], tok._learn
+    tok._learn = lambda words: learned.extend(words) or learn(words)
+    assert tok.packed_batch([b"common word", b"here"]) == [np.array(reference(t), "<u4").tobytes() for t in ("common word", "here")]
+    assert learned == [b"word"] and tok.cache[b"common"] is before and b"words," not in tok.cache
+
+
+def test_another_vocabulary_goes_whole(tmp_path):
+    """A file that splits in another way is encoded by itself alone."""
+    library = Tokenizer.from_file(VOCABULARY)
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    library.save(str(tmp_path / "other.json"))
+    tok = CachedTokenizer(str(tmp_path / "other.json"))
+    text = "ending | éa,. longer words here 12"
+    assert not tok.runs and tok.packed(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    text = "ending ending.### ending, comma, stop. éa,."  # a sign is no word of its own here
+    assert tok.packed(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_token_files_round_trip(spark, docs):
     folder = token_files.write_token_files(docs, VOCABULARY)
     got = {r.doc_id: r for r in token_files.read_token_files(spark, folder, with_ids=True).collect()}
