@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
@@ -116,6 +117,21 @@ def test_token_files_round_trip(spark, docs):
     assert meta["tokens"] == at
 
 
+def test_a_token_file_is_written_without_whole_new_words(tmp_path, monkeypatch):
+    """One file by hand: frames hold the library's ids, which came from letters and signs apart and from words at hand."""
+    tok, seen = CachedTokenizer(VOCABULARY, limit=6), []
+    encode = tok._encode
+    monkeypatch.setattr(tok, "_encode", lambda text: seen.append(text) or encode(text))
+    monkeypatch.setattr(token_files, "cached_tokenizer", lambda path: tok)
+    texts = ["Zorblat zorblat. zorblat, quéndel!!", "mirfax### zorblat quéndel.", None, "zorblat zorblat!!"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "text": pa.array([t], pa.string())}) for i, t in enumerate(texts)]
+    footer = token_files._write_file(str(tmp_path / "a.tokens"), iter(batches), VOCABULARY, 1, 2, b"")
+    (tmp_path / f"{footer['dictionary']}.dictionary").write_bytes(b"")
+    file = token_files.TokenFile(str(tmp_path), "a.tokens")
+    assert [file.document(k).tolist() for k in range(len(file))] == [reference(t) + [1] for t in texts]
+    assert not any(w in b" ".join(seen) for w in (b"zorblat", "quéndel".encode(), b"mirfax"))
+
+
 def test_token_files_reject_another_dictionary(spark, docs):
     folder = token_files.write_token_files(docs, VOCABULARY)
     system, where = token_files.filesystem(folder)
